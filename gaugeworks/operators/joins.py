@@ -193,3 +193,48 @@ def interval_value_at(
     return pairs.groupBy(*by).agg(
         *[F.first(c).alias(c) for c in rest], F.min_by("_rv", "_rs").alias(out)
     ).select(*points.columns, out)
+
+
+# ---- substring joins -----------------------------------------------------------------
+
+def _grams(text: Column, n: int) -> Column:
+    last = F.length(text) - (n - 1)
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n))
+    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+
+def contains_pairs(
+    hay: DataFrame,
+    needles: DataFrame,
+    *,
+    hay_text: str,
+    needle_text: str,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Every (hay, needle) row pair whose hay text contains the needle text, each once.
+
+    An exact substring join without a cross product: a needle is filed under its rarest
+    three-letter piece (shorter needles under themselves), a hay row under all its pieces,
+    and the pieces are equi-joined before the containment test. ``keys`` must be equal too.
+    Needles must be non-empty; column names of the sides must differ except for ``keys``.
+    """
+    keys = list(keys)
+    needle = F.col(needle_text)
+    filed = needles.filter(F.length(needle) > 0).withColumn(
+        "_pieces",
+        F.array_distinct(F.when(F.length(needle) < 3, F.array(needle)).otherwise(_grams(needle, 3))),
+    )
+    texts = filed.select(needle_text, "_pieces").distinct()
+    pieces = texts.select(needle_text, F.explode("_pieces").alias("_gram"))
+    usage = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
+    rarest = pieces.join(usage, "_gram").groupBy(needle_text).agg(
+        F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram")
+    )
+    filed = filed.drop("_pieces").join(rarest, needle_text)
+    h = F.col(hay_text)
+    spread = hay.withColumn(
+        "_gram",
+        F.explode(F.array_distinct(F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))),
+    )
+    joined = spread.join(filed, [*keys, "_gram"])
+    return joined.filter(F.contains(F.col(hay_text), F.col(needle_text))).drop("_gram")

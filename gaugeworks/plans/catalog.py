@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import series
 from gaugeworks.operators.ordered import top_n
-from gaugeworks.plans import energy_queries
+from gaugeworks.plans import energy_queries, text_queries
 from gaugeworks.plans.bindings import HOUR, samples
 from gaugeworks.plans.registry import ORACLES, QUERIES, Query, plain
 from gaugeworks.session import utc_session
 
-_MODULES = (energy_queries,)
+_MODULES = (energy_queries, text_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
