@@ -38,7 +38,7 @@ def genre_signal(label: Column | str) -> Column:
 
 def taxonomy_tokens(label: Column | str) -> Column:
     parts = F.split(F.lower(F.coalesce(col(label), F.lit(""))), "[,/]")
-    return F.filter(F.transform(parts, F.trim), lambda t: t != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def taxonomy_signal(label: Column | str) -> Column:

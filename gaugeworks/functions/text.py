@@ -230,5 +230,5 @@ def lenient_list(raw: Column | str) -> Column:
     """A list cell: JSON array, else comma list, else a single value; blanks dropped."""
     text = F.trim(F.coalesce(col(raw), F.lit("")))
     parsed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
-    split = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda x: x != "")
     return F.coalesce(parsed, split)
