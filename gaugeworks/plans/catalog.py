@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import series
 from gaugeworks.operators.ordered import top_n
-from gaugeworks.plans import energy_queries, health_queries, match_queries, text_queries
+from gaugeworks.plans import (
+    energy_queries,
+    health_queries,
+    match_queries,
+    page_queries,
+    text_queries,
+)
 from gaugeworks.plans.bindings import HOUR, samples
 from gaugeworks.plans.registry import ORACLES, QUERIES, Query, plain
 from gaugeworks.session import utc_session
 
-_MODULES = (energy_queries, text_queries, match_queries, health_queries)
+_MODULES = (energy_queries, text_queries, match_queries, health_queries, page_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
