@@ -14,13 +14,16 @@ from gaugeworks.plans import (
     health_queries,
     match_queries,
     page_queries,
+    state_queries,
     text_queries,
 )
 from gaugeworks.plans.bindings import HOUR, samples
 from gaugeworks.plans.registry import ORACLES, QUERIES, Query, plain
 from gaugeworks.session import utc_session
 
-_MODULES = (energy_queries, text_queries, match_queries, health_queries, page_queries)
+_MODULES = (
+    energy_queries, text_queries, match_queries, health_queries, page_queries, state_queries,
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
