@@ -136,28 +136,30 @@ def provider_key(source: Column | str, event_id: Column | str) -> Column:
     return F.concat_ws("|", col(source), F.coalesce(col(event_id), F.lit("")))
 
 
-def singular(word: Column) -> Column:
-    """Conservative singular of one word."""
-    n = F.length(word)
+# Plural endings of a single word and what is left of it, in this order. Words
+# of three letters and fewer, and those in -ss, -us and -gs, stay.
+PLURALS = (
+    (r"^(\S{2,})ies$", "$1y"),
+    (r"^(?=\S{4,}$)(\S*(?:o|x|ch|sh))es$", "$1"),
+    (r"^(?=\S{4,}$)(\S*[^gsu])s$", "$1"),
+)
 
-    def cut(k: int) -> Column:
-        return word.substr(F.lit(1), n - k)
 
-    return (
-        F.when(n <= 3, word)
-        .when(word.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("(?:oes|xes|ches|shes)$"), cut(2))
-        .when(word.rlike("(?:ss|us)$"), word)
-        .when(word.rlike("[^g]s$"), cut(1))
-        .otherwise(word)
-    )
+def singular(word: Column) -> Column:
+    """Conservative singular of one word; text with spaces passes unchanged.
+
+    A chain of replacements that reads its input once: no ending survives an earlier rule,
+    so the rules exclude each other.
+    """
+    for pattern, replacement in PLURALS:
+        word = F.regexp_replace(word, pattern, replacement)
+    return word
 
 
 def name_key(text: Column | str) -> Column:
     """Lower case, punctuation to spaces (hyphens stay); a single word becomes singular."""
     cleaned = F.regexp_replace(F.lower(F.trim(col(text))), r"(?U)[^\w\s-]", " ")
-    cleaned = F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " "))
-    return F.when(cleaned.contains(" "), cleaned).otherwise(singular(cleaned))
+    return singular(F.trim(F.regexp_replace(cleaned, r"(?U)\s+", " ")))
 
 
 # ---- free-text item lists ------------------------------------------------------------

@@ -21,6 +21,7 @@ from gaugeworks.operators.ordered import (
     seconds_between,
     with_halo,
 )
+from gaugeworks.operators.sizing import broadcast_if_small
 
 
 def _stack(left, right, keys, left_ts, right_ts, payload, *, left_first: bool) -> DataFrame:
@@ -203,6 +204,20 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
+COMMON_LETTERS = "etaoinsrhl "
+
+
+def _filing_piece(needle: Column) -> Column:
+    """The piece a needle is filed under: its three-letter piece with the fewest common
+    letters, or the whole needle when it is shorter. A row expression, no statistics."""
+    def common(piece: Column) -> Column:
+        return F.length(piece) - F.length(F.translate(piece, COMMON_LETTERS, ""))
+
+    ranked = F.transform(_grams(needle, 3), lambda g: F.struct(
+        common(g).alias("c"), F.xxhash64(g).alias("h"), g.alias("g")))
+    return F.when(F.length(needle) < 3, needle).otherwise(F.array_min(ranked)["g"])
+
+
 def contains_pairs(
     hay: DataFrame,
     needles: DataFrame,
@@ -213,28 +228,19 @@ def contains_pairs(
 ) -> DataFrame:
     """Every (hay, needle) row pair whose hay text contains the needle text, each once.
 
-    An exact substring join without a cross product: a needle is filed under its rarest
-    three-letter piece (shorter needles under themselves), a hay row under all its pieces,
-    and the pieces are equi-joined before the containment test. ``keys`` must be equal too.
-    Needles must be non-empty; column names of the sides must differ except for ``keys``.
+    An exact substring join without a cross product: a needle is filed under one short piece
+    of itself, a hay row under all its pieces, and the pieces are equi-joined before the
+    containment test. Needles that measure small are broadcast, so the hay is not shuffled;
+    otherwise both sides shuffle on the piece. ``keys`` must be equal too. Column names of
+    the sides must differ except for ``keys``.
     """
     keys = list(keys)
-    needle = F.col(needle_text)
-    filed = needles.filter(F.length(needle) > 0).withColumn(
-        "_pieces",
-        F.array_distinct(F.when(F.length(needle) < 3, F.array(needle)).otherwise(_grams(needle, 3))),
-    )
-    texts = filed.select(needle_text, "_pieces").distinct()
-    pieces = texts.select(needle_text, F.explode("_pieces").alias("_gram"))
-    usage = pieces.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = pieces.join(usage, "_gram").groupBy(needle_text).agg(
-        F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram")
-    )
-    filed = filed.drop("_pieces").join(rarest, needle_text)
+    filed = needles.filter(F.length(needle_text) > 0).withColumn(
+        "_gram", _filing_piece(F.col(needle_text)))
     h = F.col(hay_text)
     spread = hay.withColumn(
         "_gram",
         F.explode(F.array_distinct(F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))),
     )
-    joined = spread.join(filed, [*keys, "_gram"])
+    joined = spread.join(broadcast_if_small(filed), [*keys, "_gram"])
     return joined.filter(F.contains(F.col(hay_text), F.col(needle_text))).drop("_gram")

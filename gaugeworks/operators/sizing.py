@@ -1,0 +1,20 @@
+"""Broadcast only what was measured to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 50_000
+MAX_BYTES = 16 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its rows and their text size are within bounds.
+
+    The measure is one aggregate with a one-row result. A larger side comes back unhinted,
+    so the join shuffles both sides and adaptive execution may split skewed partitions.
+    """
+    size = F.sum(F.length(F.to_json(F.struct(*df.columns))))
+    rows, text = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and text <= max_bytes else df
