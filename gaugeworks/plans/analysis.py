@@ -53,6 +53,7 @@ def analyse(
     """
     samples = samples.filter(F.col("channel").isin(*channels))
     windows = energy.choose_window(intervals, samples, zones, now, tz=tz)
+    sites = windows.select("site_id")
     w_intervals = _within(intervals, windows, "start_ts")
     w_samples = _within(samples, windows, "ts")
     w_zones = _within(zones, windows, "ts")
@@ -77,7 +78,8 @@ def analyse(
         F.when(F.col("hvac_kwh") > 0, F.col("hvac_kwh")).alias("hvac_circuit_kwh"))
     slices, diagnostics = energy.valid_day_shares(
         intervals, samples, now, channels=channels, labels=labels, tz=tz,
-        interval_minutes=interval_minutes, poll_seconds=poll_seconds, max_gap_seconds=max_gap_seconds)
+        interval_minutes=interval_minutes, poll_seconds=poll_seconds, max_gap_seconds=max_gap_seconds,
+        sites=sites)
     return {
         "window": windows,
         "cycles": cycles,
@@ -90,8 +92,7 @@ def analyse(
             gap_seconds=cycle_gap_seconds, interval_minutes=interval_minutes, bucket_seconds=bucket_seconds),
         "trends": energy.daily_trends(
             intervals, samples, zones, now, tz=tz, hvac_channels=hvac_channels,
-            interval_minutes=interval_minutes, poll_seconds=poll_seconds, **{
-                k: v for k, v in options.items() if k != "bucket_seconds"}),
+            interval_minutes=interval_minutes, poll_seconds=poll_seconds, sites=sites, **options),
         "quality": health.data_quality(intervals, samples, zones, now, windows),
         "shares": slices,
         "diagnostics": diagnostics,

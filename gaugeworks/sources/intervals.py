@@ -179,7 +179,8 @@ def explode_packed_days(
                         F.get(entries, F.lit(0)))
     parts = F.filter(F.split(F.coalesce(chosen["RD"], F.lit("")), ","), lambda p: F.trim(p) != "")
     slots = payloads.filter(data["errorCode"].isNull()).select(
-        *keep, day_start(day, tz).alias("_midnight"), F.posexplode(parts).alias("_slot", "_text"))
+        *keep, day_start(day, tz).alias("_midnight"), F.posexplode(parts).alias("_slot", "_text")
+    ).withColumn("_slot", F.col("_slot").cast("long"))
     return slots.select(
         *keep, F.lit(provider).alias("provider"),
         F.timestamp_micros(F.unix_micros("_midnight") + F.col("_slot") * (minutes * 60_000_000)).alias("start_ts"),
