@@ -41,18 +41,23 @@ ALERT_SECTIONS = ("storage", "services", "docker", "systemd_failed")
 def host_rollup(checks: DataFrame) -> DataFrame:
     """Per host: overall status with its critical and warning section lines.
 
-    Input has the CHECK schema, one row per (host, section); a host has a fixed, small set
-    of sections. Alerts stay rows, see :func:`host_alerts`.
+    Input has the CHECK schema. A host is first reduced to one line per section, its worst,
+    and sections are a fixed set of check names, so the lists stay short however many checks
+    a host reports. Alerts stay rows, see :func:`host_alerts`.
     """
+    rank = status_rank(F.col("status"))
     line = F.concat(F.col("section"), F.lit(": "), F.coalesce("detail", "status"))
-    critical = F.col("status") == "critical"
-    warning = F.col("status").isin("warning", "not_configured", "degraded")
+    worst = checks.groupBy("host", "section").agg(
+        F.max(rank).alias("_rank"),
+        F.max_by(F.struct("status", line.alias("line")), F.struct(rank.alias("r"), line.alias("l"))).alias("_w"))
+    critical = F.col("_w.status") == "critical"
+    warning = F.col("_w.status").isin("warning", "not_configured", "degraded")
 
     def gather(condition: Column) -> Column:
-        return F.sort_array(F.collect_set(F.when(condition, line)))
+        return F.sort_array(F.collect_list(F.when(condition, F.col("_w.line"))))
 
-    return checks.groupBy("host").agg(
-        rank_label(F.max(status_rank(F.col("status")))).alias("overall_status"),
+    return worst.groupBy("host").agg(
+        rank_label(F.max("_rank")).alias("overall_status"),
         gather(critical).alias("critical"), gather(warning).alias("warnings"))
 
 

@@ -25,23 +25,24 @@ from gaugeworks.operators.sizing import broadcast_if_small
 
 
 def _stack(left, right, keys, left_ts, right_ts, payload, *, left_first: bool) -> DataFrame:
-    """Both sides as (keys, _ts, _side, _left, _right); ``_side`` orders equal instants."""
-    carried = [c for c in left.columns if c not in keys]
-    lhs = left.select(
-        *keys, F.col(left_ts).alias("_ts"), F.lit(0 if left_first else 1).alias("_side"),
-        F.struct(*carried).alias("_left"), F.lit(None).alias("_right"),
-    )
+    """Distinct left instants and all right rows as (keys, _ts, _side, _right); ``_side``
+    orders equal instants. However many left rows share an instant, it is solved once."""
+    lhs = left.select(*keys, F.col(left_ts).alias("_ts")).distinct().select(
+        *keys, "_ts", F.lit(0 if left_first else 1).alias("_side"), F.lit(None).alias("_right"))
     rhs = right.select(
         *keys, F.col(right_ts).alias("_ts"), F.lit(1 if left_first else 0).alias("_side"),
-        F.lit(None).alias("_left"),
         F.struct(F.col(right_ts).alias("matched_ts"), payload.alias("matched")).alias("_right"),
     )
     return lhs.unionByName(rhs)
 
 
-def _unpack(df: DataFrame, left: DataFrame, keys: Sequence[str], *extra: str) -> DataFrame:
-    back = [F.col(c) if c in keys else F.col("_left")[c].alias(c) for c in left.columns]
-    return df.filter(F.col("_left").isNotNull()).select(*back, *extra)
+def _attach(solved: DataFrame, left: DataFrame, keys: Sequence[str], left_ts: str) -> DataFrame:
+    """Left rows with the answer of their instant. The join is an equi-join whose left side
+    adaptive execution may split, so a heap of left rows at one instant is no hot task."""
+    answers = solved.filter(F.col("_hit").isNotNull()).select(
+        *keys, F.col("_ts").alias(left_ts), F.col("_hit.matched").alias("matched"),
+        F.col("_hit.matched_ts").alias("matched_ts"))
+    return left.join(answers, [*keys, left_ts], "left").select(*left.columns, "matched", "matched_ts")
 
 
 def asof_backward(
@@ -64,11 +65,7 @@ def asof_backward(
     both = carry_last(
         both, keys, ["_ts", "_side"], F.col("_right"), "_hit", bucket_seconds=bucket_seconds
     )
-    out = _unpack(both, left, keys, "_hit")
-    return out.select(
-        *left.columns, F.col("_hit.matched").alias("matched"),
-        F.col("_hit.matched_ts").alias("matched_ts"),
-    )
+    return _attach(both.filter(F.col("_right").isNull()), left, keys, left_ts)
 
 
 def asof_within_interval(
@@ -132,11 +129,8 @@ def nearest(
     ahead_ok = to_ahead < tolerance_seconds
     hit = F.when(back_ok & (~F.coalesce(ahead_ok, F.lit(False)) | (to_back <= to_ahead)),
                  F.col("_b4")).when(ahead_ok, F.col("_aft"))
-    out = _unpack(both.withColumn("_hit", hit), left, keys, "_hit")
-    return out.select(
-        *left.columns, F.col("_hit.matched").alias("matched"),
-        F.col("_hit.matched_ts").alias("matched_ts"),
-    )
+    solved = both.filter(F.col("_right").isNull()).withColumn("_hit", hit)
+    return _attach(solved, left, keys, left_ts)
 
 
 def range_join(

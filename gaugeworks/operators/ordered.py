@@ -133,24 +133,15 @@ def gap_sessions(
     and last row), ``sample_count`` and, with ``best=(value, rank)``, ``best_value`` and
     ``best_rank`` of the top-ranked row.
 
-    Sessions are first cut inside (key, bucket), then the pieces that reach a bucket edge
-    are chained per key: at most two pieces per bucket take part in that second window.
+    Rows of one instant are merged first, with map-side aggregation, so copies never fill a
+    bucket. Sessions are then cut inside (key, bucket), and the pieces that reach a bucket
+    edge are chained per key: at most two pieces per bucket take part in that second window.
     """
     keys = list(keys)
     gap = F.lit(int(gap_seconds * 1_000_000))
     width = F.lit(bucket_seconds * 1_000_000)
-    rows = df.withColumn("_us", micros(ts)).withColumn(BUCKET, bucket_of(ts, bucket_seconds))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy("_us")
-    starts = F.when(F.col("_us") - F.lag("_us").over(inside) <= gap, 0).otherwise(1)
-    rows = rows.withColumn("_new", starts)
-    rows = rows.withColumn(
-        "_piece", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    partial = [
-        F.min("_us").alias("_s"),
-        F.max("_us").alias("_e"),
-        F.count(F.lit(1)).alias("_n"),
-    ]
+    first = [F.count(F.lit(1)).alias("_n")]
+    partial = [F.min("_us").alias("_s"), F.max("_us").alias("_e"), F.sum("_n").alias("_n")]
     merge = [
         F.timestamp_micros(F.min("_s")).alias("session_start"),
         F.timestamp_micros(F.max("_e")).alias("session_end"),
@@ -158,8 +149,18 @@ def gap_sessions(
     ]
     if best is not None:
         value, rank = best
-        partial += [F.max_by(value, rank).alias("_bv"), F.max(rank).alias("_br")]
-        merge += [F.max_by("_bv", "_br").alias("best_value"), F.max("_br").alias("best_rank")]
+        first += [F.max_by(value, rank).alias("_bv"), F.max(rank).alias("_br")]
+        again = [F.max_by("_bv", "_br").alias("_bv"), F.max("_br").alias("_br")]
+        partial += again
+        merge += [again[0].alias("best_value"), again[1].alias("best_rank")]
+    rows = df.groupBy(*keys, ts).agg(*first)
+    rows = rows.withColumn("_us", micros(ts)).withColumn(BUCKET, bucket_of(ts, bucket_seconds))
+    inside = Window.partitionBy(*keys, BUCKET).orderBy("_us")
+    starts = F.when(F.col("_us") - F.lag("_us").over(inside) <= gap, 0).otherwise(1)
+    rows = rows.withColumn("_new", starts)
+    rows = rows.withColumn(
+        "_piece", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
     pieces = rows.groupBy(*keys, BUCKET, "_piece").agg(*partial)
     at_edge = (F.col("_s") - F.col(BUCKET) * width <= gap) | (
         (F.col(BUCKET) + 1) * width - F.col("_e") <= gap

@@ -35,49 +35,43 @@ def parse_lists(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
         *keys, "position", "_item.*")
 
 
-def follow_redirects(keys: DataFrame, redirects: DataFrame, key: str = "alias_key") -> DataFrame:
-    """Final key of every key; a chain that returns to a key it has visited ends on it.
+def _far_ends(steps: DataFrame, edges: int) -> DataFrame:
+    """(_from, _to) after at least as many steps as there are edges, by pointer doubling.
 
-    Pointer doubling over the redirect table: round k knows the key 2^k steps on, so the
-    number of joins is the logarithm of the longest chain. Chains into a cycle are settled
-    by following the cycle's own walk, once, for the keys that can reach one.
+    Round k knows the key 2^k steps on; a chain that ended stays where it is. Each round is
+    one equi-join on a checkpointed table and the loop stops once nothing moves.
     """
-    steps = redirects.select(
-        text.name_key("from_key").alias("_from"), text.name_key("to_key").alias("_to")
-    ).groupBy("_from").agg(F.max("_to").alias("_to"))
-    jump = steps.select("_from", "_to", F.lit(False).alias("_done"))
-    rounds = max(1, int(steps.count()).bit_length())
-    for _ in range(rounds):
+    jump = steps
+    for _ in range(max(1, edges.bit_length())):
         ahead = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
         joined = jump.join(ahead, "_to", "left")
-        jump = cut_lineage(joined.select(
-            "_from", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNull().alias("_done")))
-    # After the doubling a chain that ended cannot move again; the others circle.
-    ended = jump.join(steps.select(F.col("_from").alias("_to")), "_to", "left_anti")
-    circling = jump.join(steps.select(F.col("_from").alias("_to")), "_to", "left_semi").select("_from")
-    settled = ended.select("_from", F.col("_to").alias("resolved_key")).unionByName(
-        _walk_cycles(circling, steps))
-    return keys.join(settled.withColumnRenamed("_from", "_k"),
-                     text.name_key(key) == F.col("_k"), "left").select(
-        *keys.columns, F.coalesce("resolved_key", text.name_key(key)).alias("resolved_key"))
+        moved = cut_lineage(joined.select(
+            "_from", F.coalesce("_next", "_to").alias("_to"), F.col("_next").isNotNull().alias("_moved")))
+        jump = moved.select("_from", "_to")
+        if moved.filter("_moved").isEmpty():
+            break
+    return jump
+
 
+def follow_redirects(keys: DataFrame, redirects: DataFrame, key: str = "alias_key") -> DataFrame:
+    """Final key of every key; a chain that returns to a key it has visited ends on it.
 
-def _walk_cycles(starts: DataFrame, steps: DataFrame) -> DataFrame:
-    """Walk each start until a key repeats; the repeated key is the answer."""
-    walk = starts.select("_from", F.col("_from").alias("_at"), F.array("_from").alias("_seen"))
-    finished = None
-    while not walk.isEmpty():
-        moved = walk.join(steps.select(F.col("_from").alias("_at"), F.col("_to").alias("_next")), "_at")
-        repeat = F.array_contains("_seen", F.col("_next"))
-        moved = cut_lineage(moved.withColumn("_rep", repeat))
-        done = moved.filter("_rep").select("_from", F.col("_next").alias("resolved_key"))
-        finished = done if finished is None else finished.unionByName(done)
-        walk = moved.filter(~F.col("_rep")).select(
-            "_from", F.col("_next").alias("_at"),
-            F.array_append("_seen", F.col("_next")).alias("_seen"))
-    if finished is None:
-        return starts.select("_from", F.lit(None).cast("string").alias("resolved_key")).limit(0)
-    return finished
+    The far ends of chains that never end are exactly the keys on cycles. With the redirects
+    of those keys taken out, every chain ends, and it ends where the walk first repeats: at
+    the cycle's entry, or at the start itself when that lies on the cycle.
+    """
+    steps = cut_lineage(redirects.select(
+        text.name_key("from_key").alias("_from"), text.name_key("to_key").alias("_to")
+    ).groupBy("_from").agg(F.max("_to").alias("_to")))
+    edges = steps.count()
+    ends = _far_ends(steps, edges)
+    sources = steps.select(F.col("_from").alias("_to"))
+    on_cycle = ends.join(sources, "_to", "left_semi").select(F.col("_to").alias("_from")).distinct()
+    if not on_cycle.isEmpty():
+        ends = _far_ends(cut_lineage(steps.join(on_cycle, "_from", "left_anti")), edges)
+    settled = ends.select(F.col("_from").alias("_k"), F.col("_to").alias("resolved_key"))
+    return keys.join(settled, text.name_key(key) == F.col("_k"), "left").select(
+        *keys.columns, F.coalesce("resolved_key", text.name_key(key)).alias("resolved_key"))
 
 
 STATUSES = ("EXACT_DEFAULT", "NEEDS_SEARCH", "AMBIGUOUS", "MISSING")

@@ -195,11 +195,13 @@ def channel_quality(
     tagged = add_local_day_window(samples, "ts", tz)
     by = [*keys, "day"]
     readings = tagged.filter(F.col("power_w").isNotNull() & F.col("channel").isin(*channels))
+    # One row per instant before the window: copies of a reading never fill its partition.
+    readings = readings.groupBy(*by, "channel", "ts").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*by, "channel").orderBy("ts")
     stepped = readings.withColumn("_gap", seconds_between(F.col("ts"), F.lag("ts").over(order)))
     wide_gap = F.when(F.col("_gap") > max_gap_seconds, F.col("ts"))
     stats = stepped.groupBy(*by, "channel").agg(
-        F.count(F.lit(1)).alias("reading_count"),
+        F.sum("_n").alias("reading_count"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.min_by("_gap", wide_gap).alias("first_wide_gap"),

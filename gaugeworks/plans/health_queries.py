@@ -151,10 +151,11 @@ def a29(spark, sf):
 
 
 @query("a29_host_rollup", f"""
-WITH {_CHECK_SQL} SELECT host, CASE max(CASE status WHEN 'critical' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END AS overall_status,
-  coalesce(string_agg(DISTINCT section || ': ' || coalesce(detail, status), ', ' ORDER BY section || ': ' || coalesce(detail, status)) FILTER (WHERE status = 'critical'), '') AS critical,
-  coalesce(string_agg(DISTINCT section || ': ' || coalesce(detail, status), ', ' ORDER BY section || ': ' || coalesce(detail, status)) FILTER (WHERE status = 'degraded'), '') AS warnings
-FROM c GROUP BY host""")
+WITH {_CHECK_SQL}, k AS (SELECT *, CASE status WHEN 'critical' THEN 2 WHEN 'degraded' THEN 1 ELSE 0 END AS r, section || ': ' || coalesce(detail, status) AS line FROM c),
+w AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY host, section ORDER BY r DESC, line DESC) = 1)
+SELECT host, CASE max(r) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'ok' END AS overall_status,
+  coalesce(string_agg(line, ', ' ORDER BY line) FILTER (WHERE r = 2), '') AS critical,
+  coalesce(string_agg(line, ', ' ORDER BY line) FILTER (WHERE r = 1), '') AS warnings FROM w GROUP BY host""")
 def a29_rollup(spark, sf):
     out = health.host_rollup(_checks(spark, sf))
     return out.withColumns({c: F.array_join(c, ", ") for c in ("critical", "warnings")})

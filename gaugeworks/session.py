@@ -33,9 +33,15 @@ def local_session(cores: int | str = "*", app: str = "gaugeworks", **conf) -> Sp
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
-    """All operators read timestamps as UTC instants; pin the session to it."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """All operators read timestamps as UTC instants; pin the session to it.
+
+    Naive parquet timestamps are then read as instants too, without a cast that would keep
+    time filters from the scan.
+    """
+    for key, value in (("spark.sql.session.timeZone", "UTC"),
+                       ("spark.sql.parquet.inferTimestampNTZ.enabled", "false")):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
