@@ -174,8 +174,13 @@ def interval_value_at(
     value: str,
     out: str,
     cell_seconds: int = 900,
+    disjoint: bool = False,
 ) -> DataFrame:
-    """Value of the earliest-starting interval that contains each point; null without one."""
+    """Value of the earliest-starting interval that contains each point; null without one.
+
+    Say ``disjoint`` when the intervals of a key do not overlap, as those of one meter: a
+    point then meets one interval at most and the reduction per point is left out.
+    """
     slim = intervals.select(
         *keys, F.col("start_ts").alias("_rs"), F.col("end_ts").alias("_re"),
         F.col(value).alias("_rv"),
@@ -183,6 +188,8 @@ def interval_value_at(
     pairs = range_join(
         points, slim, keys, start="_rs", end="_re", cell_seconds=cell_seconds, how="left"
     )
+    if disjoint:
+        return pairs.select(*points.columns, F.col("_rv").alias(out))
     by = list(dict.fromkeys([*keys, *point_key]))
     rest = [c for c in points.columns if c not in by]
     return pairs.groupBy(*by).agg(

@@ -37,7 +37,9 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def bucket_of(ts: Column | str, bucket_seconds: int) -> Column:
-    return F.floor(micros(ts) / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    """Number of the fixed-width bucket holding ``ts``, by integer division towards minus."""
+    width = F.lit(bucket_seconds * 1_000_000).cast("long")
+    return F.call_function("div", micros(ts) - F.pmod(micros(ts), width), width)
 
 
 def _halo_buckets(ts: Column, bucket_seconds: int, before: float, after: float) -> Column:

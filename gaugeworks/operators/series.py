@@ -324,6 +324,16 @@ def counter_rates(
     return out.withColumn("busy_percent", F.when(d_total > 0, clamped)).drop("_prev")
 
 
+def has_data(
+    samples: DataFrame, start: Column, end: Column, *, minimum: int,
+    keys: Sequence[str] = ("site_id",), ts: str = "ts",
+) -> DataFrame:
+    """Whether a key has at least ``minimum`` distinct instants in ``[start, end)``."""
+    inside = (F.col(ts) >= start) & (F.col(ts) < end)
+    return samples.select(*keys, ts).distinct().groupBy(*keys).agg(
+        (F.count_if(inside) >= minimum).alias("has_data"))
+
+
 def load_pressure(load: Column, threads: Column) -> Column:
     return F.when(threads > 0, load / threads)
 

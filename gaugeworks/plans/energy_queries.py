@@ -254,7 +254,7 @@ def j06(spark, sf):
     points = table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("site_id"), "ts")
     out = joins.interval_value_at(points, intervals(spark, sf), point_key=["event_id"],
-                                  value="kwh", out="kwh", cell_seconds=6 * HOUR)
+                                  value="kwh", out="kwh", cell_seconds=6 * HOUR, disjoint=True)
     return out.select("event_id", tk.mean_kw("kwh", INTERVAL_MINUTES).alias("meter_kw"))
 
 
@@ -832,9 +832,8 @@ WITH {SQL_S} SELECT site_id,
   count(DISTINCT ts) FILTER (WHERE ts >= {SQL_NOW} - INTERVAL 72 HOUR AND ts < {SQL_NOW}) >= 5 AS has_data
 FROM s GROUP BY site_id""")
 def f05(spark, sf):
-    stamps = samples(spark, sf).select("site_id", "ts").distinct()
-    inside = (F.col("ts") >= now() - F.expr("INTERVAL 72 HOURS")) & (F.col("ts") < now())
-    return stamps.groupBy("site_id").agg((F.count_if(inside) >= 5).alias("has_data"))
+    start = now() - F.expr("INTERVAL 72 HOURS")
+    return series.has_data(samples(spark, sf), start, now(), minimum=5)
 
 
 @query("f02_retention", f"""

@@ -36,10 +36,12 @@ def utc_session(spark: SparkSession) -> SparkSession:
     """All operators read timestamps as UTC instants; pin the session to it.
 
     Naive parquet timestamps are then read as instants too, without a cast that would keep
-    time filters from the scan.
+    time filters from the scan. Skewed joins are split even where that costs a shuffle of
+    the aggregated result: a join on a hot site followed by a sum per site is the rule here.
     """
     for key, value in (("spark.sql.session.timeZone", "UTC"),
-                       ("spark.sql.parquet.inferTimestampNTZ.enabled", "false")):
+                       ("spark.sql.parquet.inferTimestampNTZ.enabled", "false"),
+                       ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")):
         if spark.conf.get(key) != value:
             spark.conf.set(key, value)
     return spark

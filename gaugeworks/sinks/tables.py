@@ -32,7 +32,8 @@ def rows_to_insert(
 ) -> DataFrame:
     """First incoming row of each key that the store does not hold yet."""
     first = earliest_by(incoming, keys, order)
-    return first.join(stored.select(*keys), list(keys), "left_anti").select(*incoming.columns)
+    known = stored.select(*keys).distinct()
+    return first.join(known, list(keys), "left_anti").select(*incoming.columns)
 
 
 def insert_counts(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
