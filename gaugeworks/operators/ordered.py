@@ -82,20 +82,33 @@ def carry_last(
     order: Sequence[str],
     payload: Column,
     out: str,
+    **options,
+) -> DataFrame:
+    """Nearest non-null ``payload`` earlier in the order; see :func:`carry_last_of`."""
+    return carry_last_of(df, keys, order, {out: payload}, **options)
+
+
+def carry_last_of(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    payloads: dict[str, Column],
     *,
     inclusive: bool = False,
     backwards: bool = False,
     bucket_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
-    """Nearest non-null ``payload`` earlier in the order (later when ``backwards``).
+    """For each output name the nearest non-null payload earlier (later when ``backwards``).
 
     ``order[0]`` must be the TIMESTAMP column; the rest break ties. ``inclusive`` lets a row
     see its own payload. Equal to ``last(payload, ignorenulls)`` over the whole key, with the
-    key split into buckets.
+    key split into buckets. All payloads share one window and one table of bucket edges.
     """
     keys = list(keys)
     ranked = F.struct(*[F.col(c) for c in order])
-    df = df.withColumn("_payload", payload).withColumn(BUCKET, bucket_of(order[0], bucket_seconds))
+    names = {out: f"_p{i}" for i, out in enumerate(payloads)}
+    df = df.withColumns({names[out]: payload for out, payload in payloads.items()})
+    df = df.withColumn(BUCKET, bucket_of(order[0], bucket_seconds))
     ordering = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     inside = (
         Window.partitionBy(*keys, BUCKET)
@@ -103,21 +116,25 @@ def carry_last(
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     pick = F.min_by if backwards else F.max_by
-    edges = df.groupBy(*keys, BUCKET).agg(
-        pick("_payload", F.when(F.col("_payload").isNotNull(), ranked)).alias("_edge")
-    )
+    edges = df.groupBy(*keys, BUCKET).agg(*[
+        pick(p, F.when(F.col(p).isNotNull(), ranked)).alias(f"{p}_edge") for p in names.values()
+    ])
     across = (
         Window.partitionBy(*keys)
         .orderBy(F.col(BUCKET).desc() if backwards else F.col(BUCKET).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    edges = edges.withColumn("_carry", F.last("_edge", ignorenulls=True).over(across)).drop("_edge")
-    return (
-        df.withColumn("_inside", F.last("_payload", ignorenulls=True).over(inside))
-        .join(edges, [*keys, BUCKET], "left")
-        .withColumn(out, F.coalesce("_inside", "_carry"))
-        .drop("_inside", "_carry", "_payload", BUCKET)
-    )
+    carried = [
+        F.last(f"{p}_edge", ignorenulls=True).over(across).alias(f"{p}_carry") for p in names.values()
+    ]
+    edges = edges.select(*keys, BUCKET, *carried)
+    df = df.withColumns({
+        f"{p}_inside": F.last(p, ignorenulls=True).over(inside) for p in names.values()
+    })
+    joined = df.join(edges, [*keys, BUCKET], "left")
+    found = {out: F.coalesce(f"{p}_inside", f"{p}_carry") for out, p in names.items()}
+    scratch = [f"{p}{end}" for p in names.values() for end in ("", "_inside", "_carry")]
+    return joined.withColumns(found).drop(*scratch, BUCKET)
 
 
 def gap_sessions(

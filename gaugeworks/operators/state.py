@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from gaugeworks.operators.ordered import DAY_SECONDS, bucket_of, carry_last, latest_by
+from gaugeworks.operators.ordered import (
+    DAY_SECONDS,
+    bucket_of,
+    carry_last,
+    carry_last_of,
+    latest_by,
+)
 
 # ---- throttle ------------------------------------------------------------------------
 
@@ -125,30 +131,30 @@ def alert_decisions(
     healthy row is a recovery when something was wrong or sent before and no recovery was
     the last thing sent. Only delivered messages change what counts as last sent.
 
-    What was sent last before a row is the latest delivered marker: the fingerprint of a
-    delivered unhealthy row, or ``healthy`` of a delivered recovery. A healthy row can be a
-    recovery only after a bad row or an earlier marker, which gives three prefix lookups.
+    A delivered bad row, or a delivered healthy row right after a bad one, sends something
+    for certain. From the first such row on, every delivered row leaves its fingerprint (or
+    ``healthy``) as the last one sent: it either sends it or repeats it. So two prefix
+    lookups after the previous severity are enough, and they share one pass.
     """
     keys = list(keys)
+    options = {"bucket_seconds": bucket_seconds}
     rows = results.withColumns({
         "severity": severity_of(F.col("status")), "fingerprint": fingerprint_of(F.col("issue_codes"))})
-    options = {"bucket_seconds": bucket_seconds}
     rows = carry_last(rows, keys, [ts], F.col("severity"), "_prev", **options)
     healthy = F.col("severity") == "healthy"
     was_bad = F.coalesce(F.col("_prev").isin("warning", "critical"), F.lit(False))
     sent = F.coalesce("delivered", F.lit(False))
-    opening = F.when(sent & (~healthy | was_bad), F.lit(True))
-    rows = carry_last(rows.withColumn("_bad", was_bad), keys, [ts], opening, "_opened", **options)
-    was_bad = F.col("_bad")
-    marker = F.when(sent & ~healthy, F.col("fingerprint")).when(
-        sent & (was_bad | F.col("_opened").isNotNull()), F.lit("healthy"))
-    rows = carry_last(rows, keys, [ts], marker, "last_sent", **options)
+    mark = F.when(healthy, F.lit("healthy")).otherwise(F.col("fingerprint"))
+    rows = carry_last_of(rows, keys, [ts], {
+        "_opened": F.when(sent & (~healthy | was_bad), F.lit(True)),
+        "_mark": F.when(sent, mark)}, **options)
+    rows = rows.withColumn("last_sent", F.when(F.col("_opened").isNotNull(), F.col("_mark")))
     last = F.col("last_sent")
     decision = (
         F.when(~healthy, F.when(last == F.col("fingerprint"), "none").otherwise("alert"))
         .when(last == "healthy", "none")
         .when(was_bad | last.isNotNull(), "recovery").otherwise("none"))
-    return rows.withColumn("decision", decision).drop("_prev", "_bad", "_opened")
+    return rows.withColumn("decision", decision).drop("_prev", "_opened", "_mark")
 
 
 # ---- lifecycle -----------------------------------------------------------------------
@@ -173,9 +179,9 @@ def lifecycle(
     """
     keys = list(keys)
     valid = F.when(F.col(target).isin(*STATES), F.col(target))
-    rows = carry_last(commands, keys, [ts], valid, "_last", bucket_seconds=bucket_seconds)
-    rows = carry_last(rows, keys, [ts], F.when(F.col(target) == "ended", F.lit(True)), "_over",
-                      bucket_seconds=bucket_seconds)
+    rows = carry_last_of(commands, keys, [ts], {
+        "_last": valid, "_over": F.when(F.col(target) == "ended", F.lit(True))},
+        bucket_seconds=bucket_seconds)
     met = F.when(F.lit(initial == "ended") | F.col("_over").isNotNull(), "ended").otherwise(
         F.coalesce("_last", F.lit(initial)))
     rows = rows.withColumn("state_before", met).drop("_last", "_over")
