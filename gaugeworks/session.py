@@ -54,9 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     without that setting (tests, a laptop) gets a folder of its own.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="gaugeworks-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaugeworks-checkpoint-"))
     return df.checkpoint(eager=True)
