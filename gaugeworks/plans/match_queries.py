@@ -164,14 +164,15 @@ def j17(spark, sf):
 
 
 @query("j18_precedence", f"""
-WITH {SEARCH_SQL}, a AS (SELECT * FROM q WHERE k % 2 = 0), b AS (SELECT * FROM q WHERE k % 2 = 1 OR k % 4 = 0)
+WITH {SEARCH_SQL}, a AS (SELECT q.* FROM q JOIN supplier ON s_suppkey = k WHERE s_acctbal > 4000)
 SELECT search_id, name FROM a UNION ALL
-SELECT search_id, name FROM b WHERE name NOT IN (SELECT name FROM a)
+SELECT search_id, name FROM q WHERE name NOT IN (SELECT name FROM a)
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY search_id) = 1""")
 def j18(spark, sf):
     rows = searches(spark, sf).select("search_id", "name")
-    k = F.col("search_id").cast("int")
-    return ops.merge_catalogs(rows.filter(k % 2 == 0), rows.filter((k % 2 == 1) | (k % 4 == 0)))
+    rich = table(spark, sf, "supplier").filter("s_acctbal > 4000").select(
+        F.col("s_suppkey").cast("string").alias("search_id"))
+    return ops.merge_catalogs(rows.join(rich, "search_id"), rows)
 
 
 @query("a20_status_counts", """
@@ -320,17 +321,18 @@ def j13(spark, sf):
 
 
 @query("j11_closure", """
-WITH RECURSIVE r AS (SELECT DISTINCT 'node ' || s_suppkey AS f,
-    'node ' || CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 2 ELSE s_suppkey + 1 END AS t FROM supplier WHERE s_suppkey % 10 > 2),
+WITH RECURSIVE r AS (SELECT 'node ' || s_suppkey AS f, 'node ' || CASE WHEN s_acctbal < 1000 THEN s_suppkey - 2 ELSE s_suppkey + 1 END AS t
+   FROM supplier WHERE s_acctbal <= 8000),
 k AS (SELECT 'node ' || s_suppkey AS key FROM supplier),
 w AS (SELECT key, key AS node, [key] AS seen, FALSE AS stop FROM k
   UNION ALL SELECT w.key, r.t, list_append(w.seen, r.t), list_contains(w.seen, r.t) FROM w JOIN r ON r.f = w.node WHERE NOT w.stop)
 SELECT key AS alias_key, arg_max(node, len(seen)) AS resolved_key FROM w GROUP BY key""")
 def j11(spark, sf):
+    # Poor suppliers point back, which closes cycles; rich ones point nowhere.
     key = F.concat(F.lit("node "), F.col("s_suppkey").cast("string"))
     supplier = table(spark, sf, "supplier")
-    nxt = F.when(F.col("s_suppkey") % 10 == 9, F.col("s_suppkey") - 2).otherwise(F.col("s_suppkey") + 1)
-    redirects = supplier.filter("s_suppkey % 10 > 2").select(
+    nxt = F.when(F.col("s_acctbal") < 1000, F.col("s_suppkey") - 2).otherwise(F.col("s_suppkey") + 1)
+    redirects = supplier.filter("s_acctbal <= 8000").select(
         key.alias("from_key"), F.concat(F.lit("node "), nxt.cast("string")).alias("to_key"))
     return resolve.follow_redirects(supplier.select(key.alias("alias_key")), redirects)
 
@@ -647,13 +649,13 @@ def k07(spark, sf):
 
 
 @query("k08_ledger", f"""
-WITH {_ALERT_SQL}, k AS (SELECT DISTINCT watch_id, ev FROM kp), told AS (SELECT watch_id, ev FROM k WHERE watch_id % 2 = 0)
+WITH {_ALERT_SQL}, k AS (SELECT DISTINCT watch_id, ev, starts_at FROM kp), told AS (SELECT watch_id, ev FROM k WHERE starts_at < '2024-03')
 SELECT watch_id, count(*) AS added FROM k WHERE (watch_id, ev) NOT IN (SELECT watch_id, ev FROM told) GROUP BY watch_id""")
 def k08(spark, sf):
     watches = shows.check_criteria(_watches(spark, sf)).filter("valid").drop("reason", "valid")
     none = spark.createDataFrame([], "watch_id long, event_dedupe_key string")
     due = shows.watch_alerts(watches, _shows(spark, sf), none, F.lit("2024-02-01").cast("date"))
-    ledger = due.filter("watch_id % 2 = 0").select("watch_id", "event_dedupe_key")
+    ledger = due.filter("starts_at < '2024-03'").select("watch_id", "event_dedupe_key")
     added = sinks.ledger_rows(ledger, due)
     return added.groupBy("watch_id").agg(F.count(F.lit(1)).alias("added"))
 
