@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeworks.llm import packing, quality_rules, simhash, sql
+from gaugeworks.llm import decontaminate, packing, quality_rules, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
+        F.col("leaks.item_id").alias("item_ids"), F.col("leaks.edits").alias("edits"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +37,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
