@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, packing, quality_rules, simhash, sql
+from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("leaks.item_id").alias("item_ids"), F.col("leaks.edits").alias("edits"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op6_line_dedup, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
