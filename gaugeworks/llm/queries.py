@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, simhash, sql
+from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, reshard, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("leaks.item_id").alias("item_ids"), F.col("leaks.edits").alias("edits"))
 
 
+def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an uneven layout (by source) to 24 shards of equal bytes."""
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(24))
+    rows = reshard.rewrite(_table(spark, sf_dir, "documents"), old, 24)
+    return rows.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +51,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op6_line_dedup, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op6_line_dedup, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
