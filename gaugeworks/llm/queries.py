@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, reshard, simhash, sql
+from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, reshard, simhash, sql, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,12 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(written).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op6_line_dedup, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op5_warc, op6_line_dedup, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
