@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, line_dedup, packing, quality_rules, reshard, simhash, sql, warc
+from gaugeworks.llm import decontaminate, gam, line_dedup, packing, quality_rules, reshard, simhash, sql, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,15 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"))
 
 
+def _remainder(key: str, parts: int) -> Column:
+    return F.crc32(F.col(key).cast("string")) % parts
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"),
+                     held_out=_remainder("doc_id", 5) == 0)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(written).select(
@@ -57,7 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op5_warc, op6_line_dedup, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
