@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, gam, line_dedup, packing, quality_rules, reshard, simhash, sql, warc
+from gaugeworks.llm import crf, decontaminate, gam, line_dedup, packing, quality_rules, reshard, simhash, sql, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.identify(_table(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 4) == 2)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op8_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op7_language_crf, op8_quality_rules, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
