@@ -13,7 +13,7 @@ block travels with its own pass over the documents, and no text is ever shuffled
 Defined cases: null and empty texts hold nothing; items that are null or shorter than
 ``min_chars`` after cleaning are not searched, since they would hit by chance; equal items are
 found each on its own; an empty benchmark leaves every document clean; repeated rows are judged
-alike; other columns of the documents are passed through.
+alike; other columns of the documents are passed through, but for one named like ``into``.
 """
 
 from __future__ import annotations
@@ -161,5 +161,6 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item; their columns as they came."""
-    marked = with_leaks(docs, benchmark, text, into="_leaks", **options)
-    return marked.filter(F.size("_leaks") == 0).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    marked = with_leaks(rows, benchmark, **options)
+    return marked.filter(F.size("leaks") == 0).select("row.*")

@@ -33,7 +33,7 @@ def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(24))
     rows = reshard.rewrite(_table(spark, sf_dir, "documents"), old, 24)
     return rows.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
+        F.col("_key").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
         F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("_old").alias("old_shard"))
 

@@ -117,14 +117,16 @@ def _size(text: str) -> Column:
 
 
 def _grouped(df: DataFrame, key: str, text: str, old: Column) -> DataFrame:
-    """``df`` with its size, checksum and group: old shard, size class (large first), bucket."""
+    """``row`` (all columns of ``df``), its key, size, checksum and group: old shard, size class
+    (large first), bucket."""
     doubling = F.floor(F.log2("_size") * CLASSES_PER_DOUBLING).cast("int")
-    return df.withColumns({
-        "_old": F.coalesce(old.cast("int"), F.lit(0)), "_size": _size(text),
-        "_crc": F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long"),
-    }).withColumns({
+    return df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(key).alias("_key"),
+        F.coalesce(old.cast("int"), F.lit(0)).alias("_old"), _size(text).alias("_size"),
+        F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("_crc"),
+    ).withColumns({
         "_class": -doubling,
-        "_bucket": F.pmod(F.xxhash64(F.col(key).cast("string"), "_crc"), F.lit(BUCKETS)).cast("int"),
+        "_bucket": F.pmod(F.xxhash64(F.col("_key").cast("string"), "_crc"), F.lit(BUCKETS)).cast("int"),
     })
 
 
@@ -148,8 +150,8 @@ def _target(cuts: dict[int, list[tuple[int, int]]], middle: Column) -> Column:
 
 def assign(df: DataFrame, old: Column, new_shards: int, key: str = "doc_id", text: str = "text",
            capacities: dict[int, int] | None = None) -> tuple[DataFrame, list[Transfer]]:
-    """``df`` with ``_size``, ``_crc``, ``_old``, ``_shard`` (new) and its rank in its group; the
-    transfers that it follows."""
+    """``row``, ``_key``, ``_size``, ``_crc``, ``_old``, ``_shard`` (new) and the rank in its group
+    of every row of ``df``; the transfers that they follow."""
     rows = _grouped(df, key, text, old)
     group = ["_old", "_class", "_bucket"]
     sums = rows.groupBy(*group).agg(F.sum("_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -163,7 +165,7 @@ def assign(df: DataFrame, old: Column, new_shards: int, key: str = "doc_id", tex
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Neighbouring groups come to one task, whose rows therefore go to few new shards.
     spread = rows.repartitionByRange(n, *group)
-    inside = Window.partitionBy(*group).orderBy(F.col(key), "_crc", "_size")
+    inside = Window.partitionBy(*group).orderBy("_key", "_crc", "_size")
     placed = (spread.withColumn("_upto", F.sum("_size").over(
                   inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .withColumn("_rank", F.row_number().over(inside))
@@ -190,8 +192,8 @@ def affected(flows: list[Transfer]) -> set[int]:
 
 def rewrite(df: DataFrame, old: Column, new_shards: int, folder: str | None = None,
             key: str = "doc_id", text: str = "text", capacities: dict[int, int] | None = None) -> DataFrame:
-    """Writes the affected shards as folders ``_shard=N`` and returns all rows with ``_shard``
-    and ``_slot``.
+    """Writes the affected shards as folders ``_shard=N`` and returns all rows: ``row`` with the
+    columns of ``df``, ``_key``, ``_size``, ``_crc``, ``_old``, ``_shard`` and ``_slot``.
 
     Written shards are read back from their files. A shard that nothing leaves and nothing
     enters keeps the files it has; its rows come from ``df``.

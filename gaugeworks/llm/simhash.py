@@ -161,3 +161,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return (found.join(named, "fp")
             .withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
             .select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
+                  distance: int = 4) -> DataFrame:
+    """The rows of ``df`` whose key is its component's id: one document of each group.
+
+    Rows that repeat key and text are one document, of which one row stays. A key that names
+    several texts stays if it is the id of one of their components. Rows with the null key
+    stay, since nothing tells them apart.
+    """
+    found = near_duplicates(df, key, text, shingle, distance)
+    keys = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
+    firsts = df.join(keys, df[key] == keys["_key"], "left_semi").dropDuplicates([key, text])
+    return firsts.union(df.filter(F.col(key).isNull()))
