@@ -130,6 +130,8 @@ def _quadrants(g: np.ndarray, h: np.ndarray, s: Settings) -> tuple[float, np.nda
 def fit(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
     """The model of 0/1 labels ``y`` over the rows of ``x``."""
     share = float(np.mean(y)) if len(y) else 0.5
+    if not len(y):
+        return Model(0.0)
     if not 0 < share < 1:
         return Model(float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     model = Model(float(np.log(share / (1 - share))))
@@ -206,7 +208,10 @@ def score(df: DataFrame, labels: DataFrame, held_out, key: str = "doc_id", text:
     @F.pandas_udf("double")
     def lookup(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            yield pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
+            if len(columns[0]):
+                yield pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
+            else:
+                yield pd.Series([], dtype=float)
 
     return made.select(key, "held_out", lookup(*FEATURES).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
