@@ -127,7 +127,7 @@ def size_to_bytes(text: Column | str) -> Column:
     factors = F.create_map(*[F.lit(x) for pair in SIZE_FACTORS for x in pair])
     number = F.regexp_replace(value, r"[KMGT]i?$", "").try_cast("double")
     factor = F.when(suffix == "", F.lit(1)).otherwise(F.element_at(factors, suffix))
-    return (number * factor).cast("long")
+    return (number * factor).try_cast("long")
 
 
 def rate_label(bps: Column | str) -> Column:

@@ -179,12 +179,14 @@ def collection_health(
 ) -> DataFrame:
     """ok, limited, stale or missing per key from the latest sample and the recent count.
 
-    Several channels of one instant are one record: the distinct instants are counted.
+    Several channels of one instant are one record: the distinct instants are counted. Records
+    after ``now`` do not count; a key that has no other is missing.
     """
     since = F.timestamp_micros(F.unix_micros(now) - int(window_minutes * 60_000_000))
     recent = (F.col("ts") >= since) & (F.col("ts") <= now)
     stats = samples.select(*keys, "ts").distinct().groupBy(*keys).agg(
-        F.max("ts").alias("latest_sample"), F.count_if(recent).alias("recent_samples"))
+        F.max(F.when(F.col("ts") <= now, F.col("ts"))).alias("latest_sample"),
+        F.count_if(recent).alias("recent_samples"))
     if sites is not None:
         stats = sites.select(*keys).join(stats, list(keys), "left")
     age = age_minutes(now, F.col("latest_sample"))
@@ -254,12 +256,12 @@ def backup_health(
 ) -> DataFrame:
     """Latest complete archive per target by the stamp in its name, its issues and status.
 
-    Input has the FILE_ENTRY schema; ``sidecar`` is the text of the checksum file. The first
-    critical issue, else the first warning, is the reason.
+    Input has the FILE_ENTRY schema; ``sidecar`` is the text of the checksum file. Of files with
+    one stamp the last by name counts. The first critical issue, else the first warning, is the reason.
     """
     stamp = F.nullif(F.regexp_extract("name", name_pattern, 1), F.lit(""))
     latest = files.withColumn("_stamp", stamp).filter(F.col("_stamp").isNotNull()).groupBy(*keys).agg(
-        F.max_by(F.struct("name", "sha256", "sidecar", "_stamp"), "_stamp").alias("_f"))
+        F.max_by(F.struct("name", "sha256", "sidecar", "_stamp"), F.struct("_stamp", "name")).alias("_f"))
     base = (targets if targets is not None else files).select(*keys).distinct().join(latest, list(keys), "left")
     found = F.col("_f").isNotNull()
     digest = F.lower(F.regexp_extract(F.coalesce("_f.sidecar", F.lit("")), r"(?m)^\s*([0-9a-fA-F]{64})\b", 1))

@@ -254,15 +254,14 @@ def s20(spark, sf):
 # ---- freshness and inventories -------------------------------------------------------
 
 @query("a33_collection_health", f"""
-WITH s AS (SELECT user_id AS site_id, max(ts) AS l, count(DISTINCT CASE WHEN ts >= {SQL_NOW} - INTERVAL 1440 MINUTE AND ts <= {SQL_NOW} THEN ts END) AS n
-  FROM events WHERE ts <= {SQL_NOW} GROUP BY user_id),
+WITH s AS (SELECT user_id AS site_id, max(CASE WHEN ts <= {SQL_NOW} THEN ts END) AS l, count(DISTINCT CASE WHEN ts >= {SQL_NOW} - INTERVAL 1440 MINUTE AND ts <= {SQL_NOW} THEN ts END) AS n
+  FROM events GROUP BY user_id),
 a AS (SELECT *, (epoch_us({SQL_NOW}) - epoch_us(l)) // 60000000 AS age FROM s)
 SELECT site_id, epoch_us(l) AS latest_sample, n AS recent_samples, age AS age_minutes,
-  CASE WHEN age > 900 THEN 'stale' WHEN age <= 400 AND n >= 3 THEN 'ok' ELSE 'limited' END AS status FROM a""")
+  CASE WHEN l IS NULL THEN 'missing' WHEN age > 900 THEN 'stale' WHEN age <= 400 AND n >= 3 THEN 'ok' ELSE 'limited' END AS status FROM a""")
 def a33(spark, sf):
-    rows = samples(spark, sf).filter(F.col("ts") <= now())
     return plain(health.collection_health(
-        rows, now(), window_minutes=1440, ok_age=400, stale_age=900))
+        samples(spark, sf), now(), window_minutes=1440, ok_age=400, stale_age=900))
 
 
 @query("a33_data_quality", f"""
@@ -320,7 +319,7 @@ _STAMP_ONLY = r"^bundle-(\d{8}T\d{6}Z)-\d{9}\.tar$"
 
 @query("a35_backup_health", f"""
 WITH {_FILE_SQL}, l AS (SELECT target, arg_max({{'n': name, 'd': date_trunc('day', d), 'p': p}}, (date_trunc('day', d), name)) FILTER (WHERE starts_with(name, 'bundle')) AS x FROM
-   (SELECT * FROM f QUALIFY count(*) OVER (PARTITION BY target, date_trunc('day', d)) = 1) GROUP BY target),
+   f GROUP BY target),
 k AS (SELECT target, x.n AS latest_name, (epoch_us(TIMESTAMP '2001-12-01') - epoch_us(x.d)) / 3.6e9 AS age,
    CASE WHEN x IS NULL THEN 'not_checked' WHEN x.p = '1-URGENT' THEN 'missing' WHEN x.p IN ('2-HIGH', '3-MEDIUM') THEN 'invalid' ELSE 'ok' END AS checksum_status FROM l)
 SELECT target, latest_name, round(age, 2) AS age_hours, checksum_status,
@@ -328,12 +327,7 @@ SELECT target, latest_name, round(age, 2) AS age_hours, checksum_status,
   concat_ws(',', CASE checksum_status WHEN 'not_checked' THEN 'NO_COMPLETED_ARCHIVE' WHEN 'missing' THEN 'CHECKSUM_MISSING' WHEN 'invalid' THEN 'CHECKSUM_INVALID' END,
     CASE WHEN age >= 4000 THEN 'BACKUP_STALE' WHEN age >= 3000 THEN 'BACKUP_APPROACHING_STALE' END) AS issue_codes FROM k""")
 def a35(spark, sf):
-    # One file per target and day, as a daily backup leaves; days with several are left out.
-    files = _files(spark, sf)
-    per_day = files.groupBy("target", F.to_date("mtime").alias("d")).agg(
-        F.count(F.lit(1)).alias("n"), F.first(F.struct(*files.columns)).alias("r"))
-    daily = per_day.filter("n = 1").select("r.*")
-    out = health.backup_health(daily, utc_literal("2001-12-01 00:00:00"), name_pattern=_STAMP_ONLY,
+    out = health.backup_health(_files(spark, sf), utc_literal("2001-12-01 00:00:00"), name_pattern=_STAMP_ONLY,
                                warn_hours=3000, stale_hours=4000)
     return out.drop("reason").withColumn("issue_codes", F.array_join("issue_codes", ","))
 

@@ -47,15 +47,24 @@ def utc_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``; survives the loss of executors.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session
-    without that setting (tests, a laptop) gets a folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a folder of its own; on a
+    cluster a folder of one machine would lose what the others wrote, so that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaugeworks-checkpoint-"))
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
+            folder = tempfile.mkdtemp(prefix="gaugeworks-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder; survives the loss of executors."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
