@@ -21,7 +21,6 @@ from gaugeworks.operators.ordered import (
     seconds_between,
     with_halo,
 )
-from gaugeworks.operators.sizing import broadcast_if_small
 
 
 def _stack(left, right, keys, left_ts, right_ts, payload, *, left_first: bool) -> DataFrame:
@@ -230,18 +229,20 @@ def contains_pairs(
     """Every (hay, needle) row pair whose hay text contains the needle text, each once.
 
     An exact substring join without a cross product: a needle is filed under one short piece
-    of itself, a hay row under all its pieces, and the pieces are equi-joined before the
-    containment test. Needles that measure small are broadcast, so the hay is not shuffled;
-    otherwise both sides shuffle on the piece. ``keys`` must be equal too. Column names of
-    the sides must differ except for ``keys``.
+    of itself and looked up under all pieces of a hay text. Only distinct texts take part, and
+    of these only a number and a piece are spread; a text comes back for the containment test
+    where a piece was met, and the other columns of both sides after it. ``keys`` must be equal
+    too. Column names of the sides must differ except for ``keys``.
     """
     keys = list(keys)
-    filed = needles.filter(F.length(needle_text) > 0).withColumn(
+    texts = hay.filter(F.length(hay_text) > 0).select(*keys, hay_text).distinct().withColumn(
+        "_text", F.xxhash64(hay_text))
+    filed = needles.filter(F.length(needle_text) > 0).select(*keys, needle_text).distinct().withColumn(
         "_gram", _filing_piece(F.col(needle_text)))
     h = F.col(hay_text)
-    spread = hay.withColumn(
-        "_gram",
-        F.explode(F.array_distinct(F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))),
-    )
-    joined = spread.join(broadcast_if_small(filed), [*keys, "_gram"])
-    return joined.filter(F.contains(F.col(hay_text), F.col(needle_text))).drop("_gram")
+    spread = texts.select(*keys, "_text", F.explode(F.array_distinct(
+        F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))).alias("_gram"))
+    met = spread.join(filed, [*keys, "_gram"]).drop("_gram").distinct()
+    hits = met.join(texts, [*keys, "_text"]).filter(
+        F.contains(F.col(hay_text), F.col(needle_text))).select(*keys, hay_text, needle_text)
+    return hay.join(hits, [*keys, hay_text]).join(needles, [*keys, needle_text])

@@ -15,6 +15,7 @@ from gaugeworks.plans import (
     match_queries,
     page_queries,
     state_queries,
+    stream_queries,
     text_queries,
 )
 from gaugeworks.plans.bindings import HOUR, samples
@@ -23,6 +24,7 @@ from gaugeworks.session import utc_session
 
 _MODULES = (
     energy_queries, text_queries, match_queries, health_queries, page_queries, state_queries,
+    stream_queries,
 )
 
 

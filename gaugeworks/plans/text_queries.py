@@ -269,14 +269,34 @@ def b17(spark, sf):
         "doc_id", F.md5(redaction.redact_payload("text")).alias("digest"))
 
 
-@query("b18_redact_nested")
+@query("b18_redact_nested", """
+SELECT event_id, props AS note, '[REDACTED]' AS account_id, event_type AS kind, '[REDACTED_HASH]' AS row_hash, 'user ' || user_id AS label,
+  '[REDACTED]' AS token, 'Bearer [REDACTED]' AS auth, '[REDACTED_PATH] ok' AS deep_path, user_id % 7 AS number, 'PASSWORD=[REDACTED]' AS plain FROM events""")
 def b18(spark, sf):
+    """Objects, lists and six levels of nesting; keys that are secrets, texts that hold some."""
+    user = F.col("user_id").cast("string")
+    leaf = F.struct(F.concat(F.lit("/srv/data/"), user, F.lit(" ok")).alias("path"), (F.col("user_id") % 7).alias("n"))
+    deep = leaf
+    for name in "dcba":
+        deep = F.struct(deep.alias(name))
     payload = F.to_json(F.struct(
         F.col("props").alias("note"), F.col("user_id").alias("account_id"),
-        F.struct(F.col("event_type").alias("kind"), F.sha2("props", 256).alias("row_hash")).alias(
-            "detail")))
-    return table(spark, sf, "events").select(
-        "event_id", redaction.redact_json(payload).alias("payload"))
+        F.struct(F.col("event_type").alias("kind"), F.sha2("props", 256).alias("row_hash")).alias("detail"),
+        F.array(F.struct(F.concat(F.lit("user "), user).alias("label"), user.alias("Token")),
+                F.struct(F.concat(F.lit("bearer "), user).alias("label"), user.alias("Token"))).alias("items"),
+        deep.alias("deep")))
+    out = table(spark, sf, "events").select(
+        "event_id", redaction.redact_json(payload).alias("p"),
+        redaction.redact_json(F.concat(F.lit("PASSWORD="), user)).alias("plain"))
+
+    def at(path: str, name: str):
+        return F.get_json_object("p", path).alias(name)
+
+    return out.select(
+        "event_id", at("$.note", "note"), at("$.account_id", "account_id"), at("$.detail.kind", "kind"),
+        at("$.detail.row_hash", "row_hash"), at("$.items[0].label", "label"), at("$.items[1].Token", "token"),
+        at("$.items[1].label", "auth"), at("$.deep.a.b.c.d.path", "deep_path"),
+        at("$.deep.a.b.c.d.n", "number").cast("long").alias("number"), "plain")
 
 
 @query("b18_redact_map", """
@@ -443,9 +463,18 @@ def b27(spark, sf):
 
 
 @query("b29_payload_shape", """
-SELECT '{"k": "int"}' AS shape, count(*) AS n FROM events""")
+WITH e AS (SELECT user_id % 4 AS k FROM events)
+SELECT CASE k WHEN 0 THEN '{"k": "int"}' WHEN 1 THEN '{"list": [{"token": "[REDACTED]"}, "...(2 items)"], "none": null}'
+  WHEN 2 THEN '{"a": {"b": {"c": {"d": {"e": {"deep": "float"}}}}}, "on": "bool"}' END AS shape, count(*) AS n FROM e GROUP BY k""")
 def b29(spark, sf):
-    shapes = table(spark, sf, "events").select(redaction.payload_shape("props").alias("shape"))
+    """A flat payload, a list of objects with an empty value, six levels, and text that is no JSON."""
+    kind = F.col("user_id") % 4
+    payload = (
+        F.when(kind == 0, F.col("props"))
+        .when(kind == 1, F.lit('{"list": [{"token": "x"}, {"token": "y"}], "none": null}'))
+        .when(kind == 2, F.lit('{"a": {"b": {"c": {"d": {"e": {"deep": 1.5}}}}}, "on": true}'))
+        .otherwise(F.lit("no payload")))
+    shapes = table(spark, sf, "events").select(redaction.payload_shape(payload).alias("shape"))
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -134,3 +134,21 @@ def test_log_files(spark, tmp_path):
 def test_unknown_tables_resolve_their_columns(spark):
     df = spark.createDataFrame([("n", "s", "u")], "name string, site string, url string")
     assert catalog.with_known_columns(df).columns == ["title", "source", "link"]
+
+
+def data_page(tree):
+    import json
+
+    return f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(tree)}</script>'
+
+
+def test_known_item_lists_come_first(spark):
+    item = {"id": "1", "name": "lamp", "price": "5", "seller": {"id": "9", "name": "ann"}}
+    deep = item
+    for _ in range(15):
+        deep = {"more": [deep]}
+    rows = [(1, data_page({"data": {"search": {"items": [item]}}})), (2, data_page(deep)),
+            (3, data_page({"data": {"searchFacet": {"items": []}}}))]
+    frame = spark.createDataFrame(rows, "page_id long, html string")
+    found = pages.embedded_listings(frame, source="s", item_url="u/").select("page_id", "link").collect()
+    assert sorted(map(tuple, found)) == [(1, "u/1"), (2, "u/1"), (2, "u/9")]

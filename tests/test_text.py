@@ -200,3 +200,34 @@ def test_redirect_cycles_end_where_they_repeat(spark):
     keys = spark.createDataFrame([(k,) for k in "abcxyzs"], "alias_key string")
     out = {r[0]: r[1] for r in resolve.follow_redirects(keys, redirects).collect()}
     assert out == {"a": "b", "b": "b", "c": "c", "x": "y", "y": "y", "z": "z", "s": "s"}
+
+
+def test_numbers_too_large_are_no_numbers(spark):
+    assert column(spark, ["99999x99999GB", "2x8GB"], titles.ram_gb) == [None, 16]
+    assert column(spark, ["9999999k miles", "50k miles"], titles.miles) == [None, 50000]
+    assert column(spark, ["9999999TB", "2TB"], titles.disk_gb) == [None, 2048]
+    assert column(spark, ["99999999999 gb", "16gb"], requests.capacities_gb) == [[], [16]]
+
+
+def test_shapes_have_no_bounds_unless_asked(spark):
+    deep = '{"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "t": "' + "x" * 50 + '"}'
+    assert column(spark, [deep], redaction.payload_shape) == [
+        '{"a": {"b": {"c": {"d": {"e": {"f": "int"}}}}}, "t": "str(\'' + "x" * 50 + '\')"}']
+    short = column(spark, [deep], lambda c: redaction.payload_shape(c, depth=4, text=40))
+    assert short == ['{"a": {"b": {"c": {"d": {"e": "..."}}}}, "t": "str(len=50)"}']
+
+
+def test_a_batch_seen_twice_is_existing(spark):
+    from gaugeworks.plans import match_queries, text_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = text_queries.listings(spark, sf)
+    searches, none = match_queries._runnable(spark, sf), rows.select("link").limit(0)
+    once = listings.run_counters(rows, searches, none, order=("search_id", "source")).collect()
+    twice = listings.run_counters(rows.union(rows), searches, none, order=("search_id", "source")).collect()
+    first = {(r.search_id, r.source): r for r in once}
+    for r in twice:
+        a = first[r.search_id, r.source]
+        assert r.new_count == a.new_count and r.filtered_count == 2 * a.filtered_count
+        assert r.existing_count == 2 * a.existing_count + a.new_count
+    assert sum(r.new_count for r in once) > 0
