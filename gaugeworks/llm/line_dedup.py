@@ -23,7 +23,7 @@ of the text; null keys come last in the order; other columns are passed through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.shared import kept_table
@@ -32,6 +32,8 @@ MAX_EDITS = 2
 CHARS_PER_EDIT = 25
 #: A semi join side of at most so many line numbers (8 bytes each) travels to every task.
 SMALL_IDS = 2_000_000
+#: Keys are hashes of so many bits; two that are equal by chance cost one verification.
+KEY_BITS = (1 << 48) - 1
 _GROUPS = 16
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,0123456789"
 
@@ -50,7 +52,8 @@ def _segment(length: str, edits: int, i: int) -> tuple[str, str]:
 
 
 def _key(edits: int, i: int, length: str, start: str, size: str) -> str:
-    return f"xxhash64({edits}, {i}, {length}, substring(line, {start}, {size}))"
+    part = f"substring(wide, 4 * ({start}) - 3, 4 * {size})"
+    return f"xxhash64({edits}, {i}, {length}, {part}) & {KEY_BITS}"
 
 
 def index_keys(edits: int) -> list[str]:
@@ -95,9 +98,10 @@ def _order() -> Column:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(id, n, first, line)``: every distinct line with the place of its first occurrence."""
+    """``(id, n, first, line)``: every distinct line with the place of its first occurrence. Keep
+    the table before it is used: ``id`` holds for one run only."""
     return (lines.groupBy("line").agg(F.min(_order()).alias("first"))
-            .select(F.xxhash64("line").alias("id"), F.length("line").alias("n"), "first", "line"))
+            .select(F.monotonically_increasing_id().alias("id"), F.length("line").alias("n"), "first", "line"))
 
 
 def band_distance(shorter: str, longer: str) -> str:
@@ -109,17 +113,19 @@ def band_distance(shorter: str, longer: str) -> str:
     t, width = MAX_EDITS, 2 * MAX_EDITS + 1
     full = (1 << width) - 1
     start = sum(1 << b for b in range(t, width))
-    same = " + ".join(f"if(get({shorter}, j - {t} + {b}) <=> c, {1 << b}, 0)" for b in range(width))
-    gap = f"(size({longer}) - size({shorter}))"
+    same = " + ".join(f"if(get(p.x, j - {t} + {b}) <=> c, {1 << b}, 0)" for b in range(width))
+    gap = "(size(p.y) - size(p.x))"
     up, down = f"((a.fall | ~(d | a.rise)) & {full})", "(d & a.rise)"
     step = (
         f"transform(array((((x.same & a.rise) + a.rise) ^ a.rise | x.same | a.fall) & {full}), d -> "
         f"named_struct('rise', ({down} | ~(shiftright(d, 1) | {up})) & {full}, "
         f"'fall', shiftright(d, 1) & {up}, "
         f"'far', a.far + if(x.j >= {gap} AND (d & shiftleft(1, {t} - {gap})) = 0, 1, 0)))[0]")
+    # One-element arrays bind a value, so that it is worked out once.
     return (
-        f"aggregate(transform({longer}, (c, j) -> named_struct('same', {same}, 'j', j)), "
-        f"named_struct('rise', {start}, 'fall', 0, 'far', {gap}), (a, x) -> {step}, a -> a.far)")
+        f"transform(array(named_struct('x', {shorter}, 'y', {longer})), p -> "
+        f"aggregate(transform(p.y, (c, j) -> named_struct('same', {same}, 'j', j)), "
+        f"named_struct('rise', {start}, 'fall', 0, 'far', {gap}), (a, x) -> {step}, a -> a.far))[0]")
 
 
 def _counts() -> list[Column]:
@@ -145,25 +151,26 @@ def _close(t: str) -> str:
 
 def near_lines(distinct: DataFrame) -> DataFrame:
     """First places of the distinct lines that have an earlier line within their edits."""
-    def keys(name: str, made: list[list[str]]) -> Column:
-        by_edits = " ".join(
-            f"WHEN {allowed('n')} = {e} THEN array({', '.join(ks)})" for e, ks in enumerate(made, 1))
-        return F.expr(f"CASE {by_edits} ELSE array() END").alias(name)
+    def only(edits: int, key: str) -> str:
+        return f"if({allowed('n')} = {edits}, {key}, NULL)"
 
-    filed = [index_keys(e) for e in range(1, MAX_EDITS + 1)]
+    filed = [only(e, k) for e in range(1, MAX_EDITS + 1) for k in index_keys(e)]
     # A long line probes shorter ones that may allow fewer edits, so it probes for all of them.
-    asked = "array(" + ", ".join(k for e in range(1, MAX_EDITS + 1) for k in probe_keys(e)) + ")"
-    long_enough = distinct.filter(F.col("n") >= CHARS_PER_EDIT)
-    filed_rows = long_enough.select("id", F.explode(keys("k", filed)).alias("k"), F.lit(True).alias("filed"))
-    asked_rows = long_enough.select(
-        "id", F.explode(F.filter(F.expr(asked), lambda k: k.isNotNull())).alias("k"),
-        F.lit(False).alias("filed"))
-    rows = filed_rows.union(asked_rows).repartition("k")
-    met = rows.groupBy("k").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"),
-        F.bool_or("filed").alias("any_filed"), F.bool_and("filed").alias("all_filed")).filter(
-        "low <> high AND any_filed AND NOT all_filed").select("k")
-    pairs = kept_table(rows.join(met, "k", "left_semi"))
+    asked = [k for e in range(1, MAX_EDITS + 1) for k in probe_keys(e)]
+    # Four bytes a character, so that a piece is cut out without reading what is before it.
+    wide = distinct.filter(F.col("n") >= CHARS_PER_EDIT).select(
+        "id", "n", F.encode("line", "UTF-32").alias("wide"))
+    keys = wide.select("id", F.posexplode(F.expr(f"array({', '.join(filed + asked)})")).alias("pos", "k"))
+    # The side is the last bit of the number: 1 where a line is filed, 0 where it asks.
+    rows = keys.filter(F.col("k").isNotNull()).select(
+        "k", F.expr(f"2 * id + if(pos < {len(filed)}, 1, 0)").alias("mark"))
+    # One shuffle of two numbers a row; a key that a third of all lines share spills, it is not collected.
+    every = Window.partitionBy("k")
+    met = rows.select("k", "mark", *[F.expr(x).over(every).alias(name) for name, x in (
+        ("low", "min(mark div 2)"), ("high", "max(mark div 2)"),
+        ("any_asks", "min(mark & 1)"), ("any_filed", "max(mark & 1)"))])
+    pairs = kept_table(met.filter("low <> high AND any_filed = 1 AND any_asks = 0").select(
+        "k", F.expr("mark div 2").alias("id"), F.expr("mark & 1 = 1").alias("filed")))
     ids = pairs.select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
     texts = kept_table(distinct.join(ids, "id", "left_semi").select(
@@ -183,45 +190,47 @@ def decisions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """``(key, sig, kept, near)`` per document that holds the first place of any line: the numbers
     of its lines that stay, and of those that go because a near line is earlier."""
     distinct = kept_table(distinct_lines(lines_of(df, key, text)))
-    near = near_lines(distinct).select("first", F.lit(True).alias("near"))
-    places = distinct.select("first").join(near, "first", "left").select(
-        "first.key", "first.sig", "first.line_no", "near")
-    return places.groupBy("key", "sig").agg(
-        F.collect_list(F.when(F.col("near").isNull(), F.col("line_no"))).alias("kept"),
+    near = near_lines(distinct).select("first.*", F.lit(True).alias("near"))
+    places = distinct.select("first.*", F.lit(False).alias("near")).union(near)
+    sides = places.groupBy("key", "sig").agg(
+        F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("firsts"),
         F.sort_array(F.collect_list(F.when(F.col("near"), F.col("line_no")))).alias("near"))
+    return sides.select("key", "sig", F.array_except("firsts", "near").alias("kept"), "near")
 
 
-def _joined(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with ``_lines``, ``_drop`` (line numbers, sorted) and ``_near``."""
-    found = decisions(df, key, text).select(
-        F.col("key").alias("_key"), F.col("sig").alias("_sig"), F.col("kept").alias("_kept"),
-        F.col("near").alias("_near"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = df.withColumn("_own", _signature(text))
-    joined = own.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_sig")), "left")
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` of ``key`` and ``text`` with ``n`` lines with words, ``drop`` and ``near``."""
+    found = found.select(F.col("key").alias("at"), F.col("sig").alias("of"), "kept", "near")
+    own = rows.withColumn("sig", _signature("text"))
+    joined = own.join(found, F.col("key").eqNullSafe(F.col("at")) & (F.col("sig") == F.col("of")), "left")
     none = F.array().cast("array<int>")
+    body = F.coalesce(F.col("text"), F.lit(""))
     numbers = F.filter(
         F.transform(F.split(body, "\n"), lambda line, i: F.when(_with_word(line), i)),
         lambda i: i.isNotNull())
-    return joined.withColumns({
-        "_drop": F.array_except(numbers, F.coalesce("_kept", none)),
-        "_near": F.coalesce("_near", none), "_n": F.size(numbers)})
+    return joined.withColumn("numbers", numbers).withColumns({
+        "drop": F.array_except("numbers", F.coalesce("kept", none)),
+        "near": F.coalesce("near", none), "n": F.size("numbers")})
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: lines with a word, the numbers of those dropped, and how many of
     them have no equal earlier line."""
-    return _joined(df.select(key, text), key, text).select(
-        key, F.col("_n").alias("n_lines"), F.col("_drop").alias("dropped"),
-        F.size("_near").alias("n_near"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return _joined(rows, decisions(df, key, text)).select(
+        F.col("key").alias(key), F.col("n").alias("n_lines"), F.col("drop").alias("dropped"),
+        F.size("near").alias("n_near"))
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without its dropped lines; a document that had lines with words and lost all of
     them goes. The text is the only column that changes."""
-    joined = _joined(df, key, text).withColumn("_lines", F.split(text, "\n"))
-    stay = F.array_except(F.expr("sequence(0, size(_lines) - 1)"), F.col("_drop"))
-    cleaned = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    return (joined.filter((F.col("_n") == 0) | (F.size("_drop") < F.col("_n")))
-            .withColumn(text, F.when(F.size("_drop") > 0, cleaned).otherwise(F.col(text)))
-            .select(*df.columns))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(
+        *[df[c] for c in df.columns if c != text]).alias("others"))
+    joined = _joined(rows, decisions(df, key, text)).withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.expr("sequence(0, size(lines) - 1)"), F.col("drop"))
+    cleaned = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    left = joined.filter((F.col("n") == 0) | (F.size("drop") < F.col("n")))
+    return left.select(*[
+        F.when(F.size("drop") > 0, cleaned).otherwise(F.col("text")).alias(text) if c == text
+        else F.col("others").getField(c).alias(c) for c in df.columns])
