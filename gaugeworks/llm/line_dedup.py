@@ -43,37 +43,42 @@ def allowed(length: str) -> str:
     return f"least({MAX_EDITS}, cast({length} div {CHARS_PER_EDIT} AS int))"
 
 
-def _segment(length: str, edits: int, i: int) -> tuple[str, str]:
-    """Start (from 1) and size of segment ``i`` (from 0) of ``edits`` + 1, later ones longer."""
-    k = edits + 1
-    base, longer = f"({length} div {k})", f"greatest(0, {i} - {k} + ({length} % {k}))"
-    return f"cast(1 + {i} * {base} + {longer} AS int)", (
-        f"cast({base} + if({i} >= {k} - ({length} % {k}), 1, 0) AS int)")
-
-
-def _key(edits: int, i: int, length: str, start: str, size: str) -> str:
-    part = f"substring(wide, 4 * ({start}) - 3, 4 * {size})"
-    return f"xxhash64({edits}, {i}, {length}, {part}) & {KEY_BITS}"
+def _places() -> list[tuple[int, int, int, int, bool]]:
+    """Every piece that is looked at: edits that the shorter line allows, segment (from 0), how much
+    shorter that line is, shift of the piece, and whether a line is filed under it or asks for it.
 
+    Of ``edits`` edits some lie before a segment and the rest behind it, which bounds its shift
+    from both ends.
+    """
+    out = []
+    for edits in range(1, MAX_EDITS + 1):
+        for i in range(edits + 1):
+            out.append((edits, i, 0, 0, True))
+            for shorter in range(edits + 1):
+                low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+                out += [(edits, i, shorter, shift, False) for shift in range(low, high + 1)]
+    return out
 
-def index_keys(edits: int) -> list[str]:
-    """Keys under which a line that allows ``edits`` is filed."""
-    return [_key(edits, i, "n", *_segment("n", edits, i)) for i in range(edits + 1)]
 
+def keys_of(lines: DataFrame) -> DataFrame:
+    """``(k, mark)`` of every piece of the lines ``(id, n, line)``: the hash of edits, segment,
+    length of the shorter line and piece; ``mark`` is twice the id, plus one where it is filed.
 
-def probe_keys(edits: int) -> list[str]:
-    """Keys that a line probes for lines as long or up to ``edits`` shorter."""
-    keys = []
-    for shorter in range(edits + 1):
-        length = f"(n - {shorter})"
-        for i in range(edits + 1):
-            start, size = _segment(length, edits, i)
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                key = _key(edits, i, length, f"{start} + {shift}", size)
-                keys.append(f"if({allowed(length)} = {edits} AND {start} + {shift} >= 1, {key}, NULL)")
-    return keys
+    Segments divide a line evenly, later ones are longer. Characters take four bytes each, so
+    that a piece is cut out without reading what is before it.
+    """
+    wide = lines.select("id", "n", F.encode("line", "UTF-32").alias("wide"))
+    places = F.array(*[F.struct(F.lit(e).alias("edits"), F.lit(i).alias("i"), F.lit(short).alias("shorter"),
+                                F.lit(shift).alias("shift"), F.lit(int(filed)).alias("filed"))
+                       for e, i, short, shift, filed in _places()])
+    spread = wide.select("id", "wide", F.col("n"), F.inline(places)).withColumn("m", F.expr("n - shorter"))
+    fitting = spread.filter(f"{allowed('m')} = edits").withColumns({
+        "base": F.expr("cast(m div (edits + 1) AS int)"), "longer": F.expr("m % (edits + 1)")})
+    begin = "(1 + shift + i * base + greatest(0, i - edits - 1 + longer))"
+    size = "(base + if(i >= edits + 1 - longer, 1, 0))"
+    return fitting.filter(f"{begin} >= 1").select(
+        F.expr(f"xxhash64(edits, i, m, substring(wide, 4 * {begin} - 3, 4 * {size})) & {KEY_BITS}").alias("k"),
+        F.expr("2 * id + filed").alias("mark"))
 
 
 def _signature(text: str) -> Column:
@@ -151,19 +156,7 @@ def _close(t: str) -> str:
 
 def near_lines(distinct: DataFrame) -> DataFrame:
     """First places of the distinct lines that have an earlier line within their edits."""
-    def only(edits: int, key: str) -> str:
-        return f"if({allowed('n')} = {edits}, {key}, NULL)"
-
-    filed = [only(e, k) for e in range(1, MAX_EDITS + 1) for k in index_keys(e)]
-    # A long line probes shorter ones that may allow fewer edits, so it probes for all of them.
-    asked = [k for e in range(1, MAX_EDITS + 1) for k in probe_keys(e)]
-    # Four bytes a character, so that a piece is cut out without reading what is before it.
-    wide = distinct.filter(F.col("n") >= CHARS_PER_EDIT).select(
-        "id", "n", F.encode("line", "UTF-32").alias("wide"))
-    keys = wide.select("id", F.posexplode(F.expr(f"array({', '.join(filed + asked)})")).alias("pos", "k"))
-    # The side is the last bit of the number: 1 where a line is filed, 0 where it asks.
-    rows = keys.filter(F.col("k").isNotNull()).select(
-        "k", F.expr(f"2 * id + if(pos < {len(filed)}, 1, 0)").alias("mark"))
+    rows = keys_of(distinct.filter(F.col("n") >= CHARS_PER_EDIT))
     # One shuffle of two numbers a row; a key that a third of all lines share spills, it is not collected.
     every = Window.partitionBy("k")
     met = rows.select("k", "mark", *[F.expr(x).over(every).alias(name) for name, x in (
