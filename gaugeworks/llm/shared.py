@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import cut_lineage
+from gaugeworks.session import checkpoint_root
 
 #: Runs of anything but blank and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,14 +27,9 @@ def words(text: Column) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share; gone when the session ends."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        raise ValueError("spark.checkpoint.dir is not set; it names the folder that all nodes share")
-    folder = f"{root}/llm-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    folder = f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
@@ -47,8 +42,3 @@ def kept_table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-__all__ = [
-    "BREAK", "WORD", "cut_lineage", "kept_table", "lower_ascii", "shared_folder", "words",
-]
