@@ -54,7 +54,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_table(spark, sf_dir, "documents"))
+    """Dropped line numbers as text, ``1,4``."""
+    rows = line_dedup.report(_table(spark, sf_dir, "documents"))
+    return rows.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,67 @@
 
 from __future__ import annotations
 
+from gaugeworks.llm import quality_rules
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _warc() -> str:
+    """Base32 is cut out of the hex digest, forty bits at a time."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digits = [
+        f"substr('{letters}', CAST(((('0x' || substr(h, {10 * g + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31) + 1 AS INT), 1)"
+        for g in range(4) for k in range(8)]
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+SELECT page_id, strlen(b) AS payload_bytes, {' || '.join(digits)} AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to FROM p JOIN m USING (h)"""
+
+
+def _quality_rules() -> str:
+    limits, words = quality_rules.Limits(), quality_rules.VOCABULARY
+    gone = [r"\p{Ll}", *quality_rules.CLASSES]
+    size = len(gone)
+    counts = ", ".join(
+        f"length(b) - length(regexp_replace(b, '[{c.replace(chr(39), chr(39) * 2)}]+', '', 'g'))" for c in gone)
+    term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (s + r)) ELSE 0 END"
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS b, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t),
+rep AS (SELECT doc_id, i FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(3) r(k) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(x) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(b, chr(10))) AS x FROM t)
+  WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
+n AS (SELECT t.doc_id, lang, b, w, len(w) AS n_words, length(regexp_replace(b, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(b, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
+x AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed, [{counts}] AS c FROM n),
+cs AS (SELECT doc_id, 'c' AS kind, unnest(range({size} + 1)) AS item,
+  unnest(list_concat(c, [length(b) - list_sum(c)])) / greatest(length(b), 1) AS s FROM x),
+v AS (SELECT unnest([{_quoted(words)}]) AS word, unnest(range({len(words)})) AS item),
+hit AS (SELECT doc_id, lower(word) AS word, count(*) AS k FROM (SELECT doc_id, unnest(w) AS word FROM x)
+  WHERE word IN ({_quoted([*words, *(w.capitalize() for w in words)])}) GROUP BY ALL),
+ws AS (SELECT x.doc_id, 'w' AS kind, v.item, coalesce(k, 0) / greatest(n_words, 1) AS s FROM x JOIN v ON true
+  LEFT JOIN hit ON hit.doc_id = x.doc_id AND hit.word = v.word),
+rest AS (SELECT x.doc_id, 'w' AS kind, {len(words)} AS item, (n_words - coalesce(sum(k), 0)) / greatest(n_words, 1) AS s
+  FROM x LEFT JOIN hit ON hit.doc_id = x.doc_id GROUP BY x.doc_id, n_words),
+fs AS (FROM cs UNION ALL FROM ws UNION ALL FROM rest),
+ref AS (SELECT lang, kind, item, avg(s) AS r FROM fs JOIN x USING (doc_id)
+  WHERE NOT base_failed AND lang IN ({_quoted(quality_rules.COMMON_WORDS)}) GROUP BY ALL),
+d AS (SELECT fs.doc_id, ref.lang, kind, sqrt(greatest(0, sum({term.format('s')} + {term.format('r')}) / 2)) AS d
+  FROM fs JOIN ref USING (kind, item) GROUP BY ALL),
+fit AS (SELECT doc_id, bool_or(a.d <= {limits.class_limit} + {limits.class_scatter} / sqrt(greatest(n_words, 1)) AND
+  (z.d <= {limits.word_limit} + {limits.word_scatter} / sqrt(greatest(n_words, 1)) OR n_words < {limits.min_words_for_words})) AS ok
+  FROM d a JOIN d z USING (doc_id, lang) JOIN x USING (doc_id) WHERE a.kind = 'c' AND z.kind = 'w' GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
+FROM x LEFT JOIN fit USING (doc_id)"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_warc": _warc(), "op8_quality_rules": _quality_rules()}
