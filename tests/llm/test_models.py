@@ -173,7 +173,7 @@ def test_trie_finds_all_grams_and_no_other():
 
 def test_each_context_adds_up_to_one():
     rng = np.random.default_rng(5)
-    ids = np.concatenate([[*rng.integers(2, 8, 30), ngram_lm.END] for _ in range(40)])
+    ids = np.concatenate([[*rng.integers(2, 60, 30), ngram_lm.END] for _ in range(40)])
     sizes = np.full(40, 31)
     codes, n = np.unique(ngram_lm._code(ngram_lm._grams(ids, sizes)), return_counts=True)
     import pandas as pd
@@ -181,9 +181,9 @@ def test_each_context_adds_up_to_one():
     grams = pd.DataFrame({"code": codes, "n": n})
     pairs = grams.assign(code=grams["code"] & (1 << 26) - 1).groupby("code", as_index=False)["n"].sum()
     kept = grams[(grams["n"] > 1) & (grams["code"] >= 1 << 13)]
-    trie = elias_fano.Trie(ngram_lm.model(kept, pairs[pairs["n"] > 1], np.bincount(ids, minlength=8).astype(float)))
+    trie = elias_fano.Trie(ngram_lm.model(kept, pairs[pairs["n"] > 1], np.bincount(ids, minlength=60).astype(float)))
     for context in ((0, 3), (3, 4), (5, 5), (7, 2)):
-        rows = np.array([[*context, w] for w in range(1, 8)])
+        rows = np.array([[*context, w] for w in range(1, 60)])
         assert (10 ** trie.log_probability(rows)).sum() == pytest.approx(1, abs=0.03)
 
 
