@@ -222,3 +222,40 @@ def test_language_model_on_odd_rows(odd, none):
     untrained = ngram_lm.score(odd, F.lit(True)).collect()
     assert {r.n_known for r in untrained} == {0} and {r.train_tokens for r in untrained} == {0}
     assert ngram_lm.score(none, F.lit(False)).count() == 0
+
+
+def test_language_model_counts_every_word_and_gram(spark, monkeypatch):
+    """Scores equal to brute force over all words and n-grams, also those that occur once, in many parts."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{min(int(x), 3000)}" for x in rng.zipf(1.3, 80)) for _ in range(120)] + ["", None, "only here once"]
+    rows = list(enumerate([*texts, "only here once"]))
+    held = {k for k, _ in rows if k % 5 == 1} | {len(rows) - 1}
+    monkeypatch.setattr(ngram_lm, "PART_CHARS", 5_000)
+    monkeypatch.setattr(ngram_lm, "BLOCK_ROWS", 20)
+    got = {r.doc_id: r for r in ngram_lm.score(
+        spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(list(held))).collect()}
+
+    tokens = {k: ["<", "<", *(t or "").split(), ">"] for k, t in rows}
+    seen = [Counter() for _ in range(3)]
+    for k, ws in tokens.items():
+        if k not in held:
+            for i in range(2, len(ws)):
+                for n in range(3):
+                    seen[n][tuple(ws[i - n:i + 1])] += 1
+    total, kinds, texts_learned = sum(seen[0].values()), len(seen[0]), seen[0][(">",)]
+    seen_before = seen[0] + Counter({("<",): texts_learned}), seen[1] + Counter({("<", "<"): texts_learned})
+    for k, ws in tokens.items():
+        want = 0.0
+        for i in range(2, len(ws)):
+            p = (seen[0][(ws[i],)] + 0.5) / (total + 0.5 * (kinds + 1))
+            for n in (1, 2):
+                more, context = ngram_lm.PRIOR[n - 1], tuple(ws[i - n:i])
+                p = (seen[n][(*context, ws[i])] + more * p) / (seen_before[n - 1][context] + more)
+            want += math.log10(p)
+        assert got[k].score == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("n, top", [(1, 1), (1, 1 << 61), (1000, 1 << 62), (5000, 3), (3000, 1 << 50)])
+def test_packed_sequences(n, top):
+    values = np.sort(np.random.default_rng(n).integers(0, top, n))
+    assert (elias_fano.unpacked(elias_fano.packed(values)) == values).all()
