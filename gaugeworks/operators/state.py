@@ -22,6 +22,7 @@ from gaugeworks.operators.ordered import (
     carry_last_of,
     latest_by,
 )
+from gaugeworks.session import cut_lineage
 
 # ---- throttle ------------------------------------------------------------------------
 
@@ -36,6 +37,30 @@ def accepted_chain(times: np.ndarray, first: int, interval: int) -> np.ndarray:
     return np.array(picked, dtype=int)
 
 
+def _next_starts(paths: DataFrame, keys: list[str], step: int, bucket_seconds: int) -> DataFrame:
+    """``(keys, _from, _to)``: for each start of a path the first start at least ``step`` after
+    the path's end, if there is one. It always lies in a later bucket."""
+    none = F.lit(None).cast("long")
+    ends = paths.select(*keys, F.timestamp_micros(F.col("_end") + step).alias("_at"), F.lit(0).alias("_kind"),
+                        F.col("_start").alias("_from"), none.alias("_start"))
+    starts = paths.select(*keys, F.timestamp_micros("_start").alias("_at"), F.lit(1), none, "_start")
+    found = carry_last(ends.union(starts), keys, ["_at", "_kind"], F.col("_start"), "_to",
+                       backwards=True, bucket_seconds=bucket_seconds)
+    return found.filter("_from IS NOT NULL AND _to IS NOT NULL").select(*keys, "_from", "_to")
+
+
+def _reached(first: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, _entry)``: all that can be reached from ``first`` over ``jumps`` from ``_from`` to
+    ``_to``, which are doubled until none is left."""
+    reached, jumps = cut_lineage(first), cut_lineage(jumps)
+    while not jumps.isEmpty():
+        ahead = reached.withColumnRenamed("_entry", "_from").join(jumps, [*keys, "_from"])
+        reached = cut_lineage(reached.union(ahead.select(*keys, F.col("_to").alias("_entry"))))
+        further = jumps.select(*keys, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
+        jumps = cut_lineage(jumps.join(further, [*keys, "_to"]).select(*keys, "_from", F.col("_far").alias("_to")))
+    return reached
+
+
 def throttle(
     df: DataFrame,
     keys: Sequence[str],
@@ -49,8 +74,8 @@ def throttle(
 
     The choice is greedy, so it is not a window function. It is cut into three steps: every
     (key, bucket) works out where it would end for each instant it might start at (only the
-    instants of its first interval qualify), the buckets of a key are chained over those
-    small tables, and every bucket then marks its own rows from its known start.
+    instants of its first interval qualify), these rows are chained by pointer doubling, and
+    every bucket then marks its own rows from its known start. No step holds a whole key.
     """
     keys = list(keys)
     step = int(interval_seconds * 1_000_000)
@@ -72,35 +97,21 @@ def throttle(
             ends.append(t[last[:stop]])
         return pd.DataFrame({"starts": starts, "ends": ends})
 
-    @pandas_udf("array<long>")
-    def chain(starts: pd.Series, ends: pd.Series) -> pd.Series:
-        def entries(per_bucket_starts, per_bucket_ends):
-            out, previous = [], None
-            for first, last in zip(per_bucket_starts, per_bucket_ends):
-                at = 0 if previous is None else int(np.searchsorted(first, previous + step))
-                found = at < len(first)
-                out.append(int(first[at]) if found else None)
-                previous = int(last[at]) if found else previous
-            return out
-
-        return pd.Series([entries(a, b) for a, b in zip(starts, ends)])
-
     @pandas_udf("array<long>")
     def mark(times: pd.Series, entry: pd.Series) -> pd.Series:
         return pd.Series([
             t[accepted_chain(t, int(np.searchsorted(t, e)), step)] for t, e in zip(times, entry)])
 
-    # A bucket's array is bounded by its width and the sampling rate, a key's by its buckets.
+    # A bucket's array is bounded by its width and the sampling rate.
     buckets = rows.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list("_us")).alias("_times"))
     tables = buckets.withColumn("_t", transfer("_b", "_times"))
-    per_key = tables.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_b", "_t.starts", "_t.ends"))).alias("_list"))
-    linked = per_key.withColumn("_entry", chain(
-        F.transform("_list", lambda x: x["starts"]), F.transform("_list", lambda x: x["ends"])))
-    entries = linked.select(*keys, F.explode(F.arrays_zip(
-        F.transform("_list", lambda x: x["_b"]).alias("_b"), F.col("_entry").alias("_e"))).alias("_z")).select(
-        *keys, F.col("_z._b").alias("_b"), F.col("_z._e").alias("_entry"))
-    started = buckets.join(entries.filter(F.col("_entry").isNotNull()), [*keys, "_b"])
+    paths = tables.select(*keys, F.explode(F.arrays_zip(
+        F.col("_t.starts").alias("start"), F.col("_t.ends").alias("end"))).alias("_z")).select(
+        *keys, F.col("_z.start").alias("_start"), F.col("_z.end").alias("_end"))
+    entries = _reached(rows.groupBy(*keys).agg(F.min("_us").alias("_entry")),
+                       _next_starts(cut_lineage(paths), keys, step, bucket_seconds), keys).withColumn(
+        "_b", bucket_of(F.timestamp_micros("_entry"), bucket_seconds))
+    started = buckets.join(entries, [*keys, "_b"])
     kept = started.select(*keys, F.explode(mark("_times", "_entry")).alias("_us"))
     return kept.select(*keys, F.timestamp_micros("_us").alias(ts))
 

@@ -57,6 +57,23 @@ def test_throttle_batch_is_greedy(spark, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("interval", [90, 700, 9000])
+def test_throttle_never_collects_a_key(spark, monkeypatch, interval):
+    """One key over many buckets, intervals below and above a bucket: only instants of one bucket are collected."""
+    rng, collected = random.Random(7), []
+    seconds = sorted(rng.sample(range(60_000), 1500))
+    df = spark.createDataFrame([(1, at(s)) for s in seconds], "host long, ts timestamp")
+    collect = F.collect_list
+    monkeypatch.setattr(state.F, "collect_list", lambda c: collected.append(c) or collect(c))
+    got = sorted(r["ts"] for r in state.throttle(df, ["host"], interval, bucket_seconds=600).collect())
+    want = []
+    for s in seconds:
+        if not want or s - want[-1] >= interval:
+            want.append(s)
+    assert got == [r["ts"] for r in spark.createDataFrame([(at(s),) for s in want], "ts timestamp").collect()]
+    assert collected == ["_us"]
+
+
 def test_throttle_stream_equals_batch(spark, tmp_path):
     df = sampled(spark)
     out = replay(spark, df, str(tmp_path / "in"), tmp_path, build=lambda s: samples.throttle(s, "host", 400))
