@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import crf, decontaminate, gam, line_dedup, ngram_lm, packing, quality_rules, reshard, simhash, sql, warc
+from gaugeworks.llm import (
+    crf,
+    decontaminate,
+    filter_audit,
+    gam,
+    line_dedup,
+    ngram_lm,
+    packing,
+    quality_rules,
+    reshard,
+    simhash,
+    sql,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,9 +88,14 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 5) == 1)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op7_language_crf, op8_quality_rules, op9_packing,
-                                   op10_ngram_lm)}
+    return {f.__name__: f for f in (
+        op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op7_language_crf,
+        op8_quality_rules, op9_packing, op10_ngram_lm, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

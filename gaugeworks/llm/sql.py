@@ -64,5 +64,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM x LEFT JOIN fit USING (doc_id)"""
 
 
+def _filter_audit() -> str:
+    """Documents, orders and steps one by one: what is gone at a step failed an earlier letter."""
+    return r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS b FROM documents),
+w AS (SELECT *, regexp_extract_all(b, '[^\x20\x09-\x0D]+') AS w FROM t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(b, '[^A-Z]+', '', 'g')) > 2 * length(b) THEN 'C' END,
+    CASE WHEN regexp_matches(b, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN min(doc_id) OVER (PARTITION BY b) < doc_id THEN 'E' END) AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS letter, filter_order[1:k - 1] AS before FROM o, range(1, 6) r(k)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+m AS (SELECT *, contains(fails, letter) AS bad, translate(fails, before, '') <> fails AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT bad AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails = letter THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN bad AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN bad AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op5_warc": _warc(), "op8_quality_rules": _quality_rules()}
+    return {"op5_warc": _warc(), "op8_quality_rules": _quality_rules(), "op13_filter_audit": _filter_audit()}
