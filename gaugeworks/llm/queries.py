@@ -13,6 +13,7 @@ from gaugeworks.llm import (
     filter_audit,
     gam,
     line_dedup,
+    mixing,
     ngram_lm,
     packing,
     quality_rules,
@@ -88,6 +89,11 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"), held_out=_remainder("doc_id", 5) == 1)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -95,7 +101,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op7_language_crf,
-        op8_quality_rules, op9_packing, op10_ngram_lm, op13_filter_audit)}
+        op8_quality_rules, op9_packing, op10_ngram_lm, op11_mixing, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
