@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import (
+    collocations,
     crf,
     decontaminate,
     filter_audit,
@@ -94,6 +95,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -101,7 +106,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_simhash, op2_decontamination, op3_reshard, op4_quality_gam, op5_warc, op6_line_dedup, op7_language_crf,
-        op8_quality_rules, op9_packing, op10_ngram_lm, op11_mixing, op13_filter_audit)}
+        op8_quality_rules, op9_packing, op10_ngram_lm, op11_mixing, op12_collocations,
+        op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

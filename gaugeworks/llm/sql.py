@@ -64,6 +64,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM x LEFT JOIN fit USING (doc_id)"""
 
 
+def _collocations() -> str:
+    return r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM i, range(1, 5) r(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE words > 1 AND f >= 30),
+u AS (SELECT lang, phrase, f, words, w, unnest(range(1, words)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.f AS a, l.f AS l, r.f AS r, cut, (2000000::HUGEINT * u.f) // (l.f::HUGEINT + r.f) AS score
+  FROM u JOIN g l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ')
+  JOIN g r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+v AS (SELECT lang, array_to_string(w[b:e], ' ') AS phrase, max(f) AS f FROM c, range(1, 4) x(b), range(2, 5) y(e)
+  WHERE e > b AND e <= words AND e - b + 1 < words GROUP BY ALL),
+d AS (SELECT m.* FROM m LEFT JOIN v USING (lang, phrase) WHERE NOT coalesce(100 * v.f::HUGEINT >= 80 * a::HUGEINT, FALSE)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def _filter_audit() -> str:
     """Documents, orders and steps one by one: what is gone at a step failed an earlier letter."""
     return r"""
@@ -90,4 +112,5 @@ SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGI
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_warc": _warc(), "op8_quality_rules": _quality_rules(), "op13_filter_audit": _filter_audit()}
+    return {"op5_warc": _warc(), "op8_quality_rules": _quality_rules(), "op12_collocations": _collocations(),
+            "op13_filter_audit": _filter_audit()}
