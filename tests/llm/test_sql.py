@@ -16,4 +16,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{n}" for n in range(1, 14)]
