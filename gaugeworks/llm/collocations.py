@@ -5,15 +5,18 @@ blank and pieces by a line break. In a block, prefix polynomials modulo 2**64 gi
 word from its bytes and of every n-gram from its words, each by one subtraction and one product.
 
 * Words and pairs leave as (fingerprint, block, count). A window over the fingerprint adds the
-  counts; the frequent ones go back to the blocks that they point to, as one list a block.
-* A longer n-gram can only be frequent if every pair in it is, so triples and quadruples are hashed
-  just where all pairs are on the list, and go the same way.
-* Blocks write out the phrases of their list. Every occurrence is compared with the text of the
-  first one, byte by byte; what only shares a fingerprint is counted under its own text. Counts are
-  then added by text, so a collision costs time and changes nothing.
-
-Texts travel as compressed blocks, fingerprints as numbers, and only phrases of frequent
-fingerprints as strings. A block's list is never longer than the block.
+  counts; the frequent ones go back to the blocks that they point to, as one list a block. This
+  only decides what is looked at again, so a collision here costs time and changes nothing.
+* A longer n-gram can only be frequent if every pair in it is. Listed words and pairs, and triples
+  and quadruples all of whose pairs are listed, leave as (fingerprint, check, block, count). Every
+  word of a block is compared byte by byte with the first of its hash, and its check is a digest of
+  its own bytes; an n-gram's check is made of those of its words. Counts are added by both numbers,
+  so texts that share a fingerprint stay apart.
+* Each frequent pair of numbers keeps one pointer, a block. That block writes out its phrase, after
+  comparing all occurrences there with the first, byte by byte.
+
+Texts travel as compressed blocks, n-grams as numbers, and only frequent phrases as strings, once
+each. A block's list is never longer than the block.
 
 Defined cases: null and blank texts have no words, a null language is ``und``; repeated rows count
 each; a text longer than a block is cut between pieces, and a longer piece is a block of its own;
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +56,8 @@ RANK_PARTS = 256
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_BREAKS))
-#: Odd bases of the two polynomials, over bytes and over words.
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd bases of the polynomials over bytes, word hashes and word digests.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _MODULUS = 1 << 64
 WIDE = "decimal(38,0)"
 
@@ -106,8 +109,8 @@ class Block:
         self.starts, self.ends = edges[::2], edges[1::2]
         self.piece = np.searchsorted(np.flatnonzero(self.data == 10), self.starts)
         self.seed = xxhash.xxh64_intdigest(lang.encode(), seed=1)
-        hashes = scrambled(self._words() + (self.ends - self.starts).astype(np.uint64))
-        self.prefix = prefix_sums(hashes, _BASES[1])
+        self.hashes = scrambled(self._words() + (self.ends - self.starts).astype(np.uint64))
+        self.prefix = prefix_sums(self.hashes, _BASES[1])
 
     def _words(self) -> np.ndarray:
         """Hash of each word from the bytes, some words at a time."""
@@ -130,9 +133,30 @@ class Block:
         return np.flatnonzero(self.piece[:last] == self.piece[n - 1:])
 
     def fingerprints(self, first: np.ndarray, n: int) -> np.ndarray:
-        raw = span_hashes(self.prefix, first, first + n, _BASES[1])
+        return self._marks(self.prefix, first, n, _BASES[1])
+
+    def checks(self, first: np.ndarray, n: int) -> np.ndarray:
+        return self._marks(self.digests, first, n, _BASES[2])
+
+    def _marks(self, prefix: np.ndarray, first: np.ndarray, n: int, base: int) -> np.ndarray:
+        raw = span_hashes(prefix, first, first + n, base)
         return scrambled(raw ^ np.uint64((self.seed + n) % _MODULUS)).view(np.int64)
 
+    @cached_property
+    def digests(self) -> np.ndarray:
+        """Prefix polynomial over a digest of every word's bytes."""
+        order = np.argsort(self.hashes, kind="stable")
+        heads, counts = groups(self.hashes[order])
+        found = np.array([self.digest(i) for i in order[heads]], dtype=np.uint64)
+        out = np.empty(len(order), dtype=np.uint64)
+        out[order] = np.repeat(found, counts)
+        for i in differing(self, order, heads, counts, 1):
+            out[order[i]] = self.digest(order[i])
+        return prefix_sums(out, _BASES[2])
+
+    def digest(self, word: int) -> int:
+        return xxhash.xxh3_64_intdigest(self.data[self.starts[word]:self.ends[word]].tobytes(), seed=2)
+
 
 def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of all bytes of the spans, one span after the other."""
@@ -147,36 +171,34 @@ def portions(items: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     return np.split(items, np.unique(np.searchsorted(total, marks)))
 
 
-def phrases(block: Block, first: np.ndarray, marks: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
-    """Distinct phrases of the n-grams that begin at ``first``, with counts.
-
-    ``marks`` are their fingerprints. Each occurrence is compared with the first of its
-    fingerprint; those that differ are counted by their text.
-    """
-    if not len(first):
-        return pa.array([], pa.string()), np.empty(0, dtype=np.int64)
-    order = np.argsort(marks, kind="stable")
-    first, marks = first[order], marks[order]
-    heads, counts = groups(marks)
+def differing(block: Block, first: np.ndarray, heads: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Which of the n-grams, grouped by mark, do not have the bytes of their group's head."""
     starts = block.starts[first]
     lengths = block.ends[first + n - 1] - starts
     head_of = np.repeat(heads, counts)
     wrong = lengths != lengths[head_of]
     same = np.flatnonzero(~wrong & (head_of != np.arange(len(first))))
     for part in portions(same, lengths[same]):
-        differs = block.data[gathered(starts[part], lengths[part])] != block.data[
+        unequal = block.data[gathered(starts[part], lengths[part])] != block.data[
             gathered(starts[head_of[part]], lengths[part])]
-        if differs.any():
-            wrong[np.unique(np.repeat(part, lengths[part])[differs])] = True
-    others = Counter(bytes(block.data[starts[i]:starts[i] + lengths[i]]).decode() for i in np.flatnonzero(wrong))
-    counts = counts - np.add.reduceat(wrong.astype(np.int64), heads)
-    data = block.data[gathered(starts[heads], lengths[heads])]
-    offsets = np.r_[0, np.cumsum(lengths[heads])].astype(np.int64)
-    texts = pa.LargeStringArray.from_buffers(len(heads), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
-    if others:
-        texts = pa.concat_arrays([texts, pa.array(others, pa.string())])
-        counts = np.r_[counts, list(others.values())]
-    return texts, counts
+        if unequal.any():
+            wrong[np.repeat(part, lengths[part])[unequal]] = True
+    return np.flatnonzero(wrong)
+
+
+def phrases(block: Block, first: np.ndarray, marks: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """The first n-gram of each mark and its phrase, all others having been compared with it."""
+    order = np.argsort(marks, kind="stable")
+    first = first[order]
+    heads, counts = groups(marks[order])
+    if len(differing(block, first, heads, counts, n)):
+        raise ValueError("two phrases share fingerprint and check")
+    first = first[heads]
+    lengths = block.ends[first + n - 1] - block.starts[first]
+    data = block.data[gathered(block.starts[first], lengths)]
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+    return first, texts.cast(pa.string())
 
 
 def groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +231,8 @@ def cuts(body: bytes) -> Iterator[bytes]:
 
 _BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("body", pa.binary())])
 _GRAM = pa.schema([("fp", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
-_TEXT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-_BOTH = pa.schema([*_GRAM, _TEXT.field("lang"), _TEXT.field("phrase")])
+_CHECKED = pa.schema([("fp", pa.int64()), ("check", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
+_TEXT = pa.schema([("fp", pa.int64()), ("check", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int64())])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,77 +262,68 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from [written(one) for one in list(held)]
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, Block, np.ndarray]]:
-    """Number, language, words and sorted list of each block of the batches."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, Block, pa.Array | None]]:
+    """Number, language, words and list of each block of the batches."""
     for batch in batches:
         for row in range(batch.num_rows):
-            number, lang = batch.column("block")[row].as_py(), batch.column("lang")[row].as_py()
+            lang = batch.column("lang")[row].as_py()
             body = zstandard.decompress(batch.column("body")[row].as_buffer())
-            listed = batch.column("listed")[row].values.to_numpy() if "listed" in batch.schema.names else np.empty(0, np.int64)
-            yield number, lang, Block(body, lang), np.sort(listed)
-
-
-def _sent(number: int, marks: np.ndarray) -> pa.RecordBatch:
-    marks = np.sort(marks)
-    heads, counts = groups(marks)
-    return pa.record_batch([marks[heads], np.full(len(heads), number), counts], schema=_GRAM)
+            listed = batch.column("listed")[row].values if "listed" in batch.schema.names else None
+            yield batch.column("block")[row].as_py(), lang, Block(body, lang), listed
 
 
 def _listed(marks: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which fingerprints are in the sorted list."""
+    """Which marks are in the sorted list."""
     if not len(listed):
         return np.zeros(len(marks), dtype=bool)
-    at = np.minimum(np.searchsorted(listed, marks), len(listed) - 1)
-    return listed[at] == marks
+    return listed[np.minimum(np.searchsorted(listed, marks), len(listed) - 1)] == marks
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of all words and pairs of each block."""
     for number, _, block, _ in _rows(batches):
         for n in (1, 2):
-            yield _sent(number, block.fingerprints(block.whole(n), n))
+            marks = np.sort(block.fingerprints(block.whole(n), n))
+            heads, counts = groups(marks)
+            yield pa.record_batch([marks[heads], np.full(len(heads), number), counts], schema=_GRAM)
 
 
-def _middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of the listed words and pairs; fingerprints of longer n-grams of listed pairs."""
-    for number, lang, block, listed in _rows(batches):
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both numbers of listed words and pairs, and of longer n-grams of listed pairs."""
+    for number, _, block, listed in _rows(batches):
+        listed = np.sort(listed.to_numpy())
         paired = np.zeros(len(block.starts), dtype=bool)
-        for n in (1, 2):
+        for n in range(1, LONGEST + 1):
             first = block.whole(n)
-            marks = block.fingerprints(first, n)
-            known = _listed(marks, listed)
-            texts, counts = phrases(block, first[known], marks[known], n)
+            if n <= 2:
+                first = first[_listed(block.fingerprints(first, n), listed)]
             if n == 2:
-                paired[first[known]] = True
-            rows = len(texts)
-            yield pa.record_batch([pa.nulls(rows, pa.int64()), np.full(rows, number), counts, [lang] * rows, texts], schema=_BOTH)
-        for n in range(3, LONGEST + 1):
-            first = block.whole(n)
-            for pair in range(n - 1):
+                paired[first] = True
+            for pair in range(n - 1 if n > 2 else 0):
                 first = first[paired[first + pair]]
-            sent = _sent(number, block.fingerprints(first, n))
-            yield pa.record_batch([*sent.columns, *[pa.nulls(sent.num_rows, pa.string())] * 2], schema=_BOTH)
+            marks, checks = block.fingerprints(first, n), block.checks(first, n)
+            order = np.lexsort((checks, marks))
+            marks, checks = marks[order], checks[order]
+            heads = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]) | (checks[1:] != checks[:-1])][:len(marks)])
+            yield pa.record_batch([marks[heads], checks[heads], np.full(len(heads), number),
+                                   np.diff(np.r_[heads, len(marks)])], schema=_CHECKED)
 
 
-def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of the listed n-grams of three words and more."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of the listed n-grams."""
     for _, lang, block, listed in _rows(batches):
-        for n in range(3, LONGEST + 1):
+        both = np.sort(_joint(*(listed.field(i).to_numpy() for i in (0, 1))))
+        for n in range(1, LONGEST + 1):
             first = block.whole(n)
-            marks = block.fingerprints(first, n)
-            known = _listed(marks, listed)
-            texts, counts = phrases(block, first[known], marks[known], n)
-            yield pa.record_batch([[lang] * len(texts), texts, counts], schema=_TEXT)
-
+            joint = _joint(block.fingerprints(first, n), block.checks(first, n))
+            known = _listed(joint, both)
+            heads, texts = phrases(block, first[known], joint[known], n)
+            yield pa.record_batch([block.fingerprints(heads, n), block.checks(heads, n), [lang] * len(heads), texts,
+                                   np.full(len(heads), n)], schema=_TEXT)
 
-def _frequent(grams: DataFrame, least: int) -> DataFrame:
-    """``block, listed``: the fingerprints of a block that reach ``least`` over all blocks.
 
-    A fingerprint has one row a block, so no window is longer than there are blocks.
-    """
-    total = F.sum("n").over(Window.partitionBy("fp"))
-    kept = grams.withColumn("_total", total).filter(F.col("_total") >= least)
-    return kept.groupBy("block").agg(F.collect_list("fp").alias("listed"))
+def _joint(marks: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    return scrambled(marks.view(np.uint64) + scrambled(checks.view(np.uint64))).view(np.int64)
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -320,14 +333,18 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
                      F.coalesce(F.col(text), F.lit("")).alias("body")).filter("body <> ''")
     blocks = kept_table(rows.mapInArrow(_pack, "block long, lang string, words long, body binary"), "none")
     bodies = blocks.select("block", "lang", "body")
-    gram, phrase = "fp long, block long, n long", "lang string, phrase string"
-    short = bodies.mapInArrow(_short, gram)
-    middle = kept_table(bodies.join(_frequent(short, least), "block").mapInArrow(_middle, f"{gram}, {phrase}"))
-    grams = middle.filter("fp IS NOT NULL").select("fp", "block", "n")
-    long = bodies.join(_frequent(grams, least), "block").mapInArrow(_long, f"{phrase}, n long")
-    texts = middle.filter("phrase IS NOT NULL").select("lang", "phrase", "n").union(long)
-    found = texts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    found = found.withColumn("words", F.size(F.split("phrase", " ")))
+    # A fingerprint has one row a block, so no window is longer than there are blocks.
+    short = bodies.mapInArrow(_short, "fp long, block long, n long").withColumn(
+        "_total", F.sum("n").over(Window.partitionBy("fp"))).filter(F.col("_total") >= least)
+    listed = short.groupBy("block").agg(F.collect_list("fp").alias("listed"))
+    grams = bodies.join(listed, "block").mapInArrow(_checked, "fp long, check long, block long, n long")
+    frequent = kept_table(grams.groupBy("fp", "check").agg(
+        F.sum("n").alias("f"), F.min("block").alias("block")).filter(F.col("f") >= least))
+    asked = frequent.groupBy("block").agg(F.collect_list(F.struct("fp", "check")).alias("listed"))
+    texts = bodies.join(asked, "block").mapInArrow(
+        _texts, "fp long, check long, lang string, phrase string, words long")
+    found = texts.join(frequent.select("fp", "check", "f"), ["fp", "check"]).select(
+        "lang", "phrase", F.col("words").cast("int").alias("words"), "f")
     return kept_table(found), blocks.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
