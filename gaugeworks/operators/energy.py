@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from gaugeworks.functions import timekeys as tk
 from gaugeworks.operators import joins, series
 from gaugeworks.operators.ordered import DAY_SECONDS, gap_sessions, seconds_between, top_n
+from gaugeworks.session import cut_lineage
 
 SITE = ("site_id",)
 UNMONITORED = "unmonitored"
@@ -778,6 +779,29 @@ def _classify_peaks(
 
 # ---- window choice, timeline, findings -----------------------------------------------
 
+def meter_days(intervals: DataFrame, now: Column, *, keys: Sequence[str] = SITE, tz: str = tk.DEFAULT_ZONE) -> DataFrame:
+    """Partials per site and local day: intervals, those of today and of the last 24 hours, last end.
+
+    One pass with map-side sums; whatever asks for whole days reads these rows instead.
+    """
+    today, day_ago = tk.day_start(tk.local_day(now, tz), tz), now - F.expr("INTERVAL 24 HOURS")
+    start = F.col("start_ts")
+    return intervals.groupBy(*keys, tk.local_day("start_ts", tz).alias("day")).agg(
+        F.count(F.lit(1)).alias("intervals"),
+        F.count_if((start >= today) & (start < now)).alias("today"),
+        F.count_if((start >= day_ago) & (start < now)).alias("last_24h"),
+        F.max("end_ts").alias("latest"),
+    )
+
+
+def meter_targets(days: DataFrame, keys: Sequence[str] = SITE, full_day_intervals: int = 48) -> DataFrame:
+    """Per site: intervals of today and of 24 hours, and the latest full day, else the latest one."""
+    return days.groupBy(*keys).agg(
+        F.sum("today").alias("m_today"), F.sum("last_24h").alias("m_24h"),
+        F.coalesce(F.max(F.when(F.col("intervals") >= full_day_intervals, F.col("day"))), F.max("day")).alias("m_day"),
+    )
+
+
 def choose_window(
     intervals: DataFrame,
     samples: DataFrame,
@@ -790,8 +814,14 @@ def choose_window(
     min_zone_samples: int = 3,
     full_day_intervals: int = 48,
     sites: DataFrame | None = None,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
-    """Best analysis window per site: today, last 24 h, latest usable meter day, fallback."""
+    """Best analysis window per site: today, last 24 h, latest usable meter day, fallback.
+
+    The meter names the days of interest; samples and zones are looked at on those alone, with the
+    days as literals, so a history is not made distinct to count three days. ``targets`` may bring
+    ``meter_targets`` that are there already.
+    """
     today = tk.day_start(tk.local_day(now, tz), tz)
     day_ago = now - F.expr("INTERVAL 24 HOURS")
     keys = list(keys)
@@ -799,22 +829,17 @@ def choose_window(
     def within(ts: str, start: Column, end: Column) -> Column:
         return (F.col(ts) >= start) & (F.col(ts) < end)
 
-    per_day = intervals.groupBy(*keys, tk.local_day("start_ts", tz).alias("day")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(within("start_ts", today, now)).alias("_today"),
-        F.count_if(within("start_ts", day_ago, now)).alias("_24h"),
-    )
-    meter = per_day.groupBy(*keys).agg(
-        F.sum("_today").alias("m_today"), F.sum("_24h").alias("m_24h"),
-        F.coalesce(
-            F.max(F.when(F.col("_n") >= full_day_intervals, F.col("day"))), F.max("day")
-        ).alias("m_day"),
-    )
+    if targets is None:
+        targets = cut_lineage(meter_targets(meter_days(intervals, now, keys=keys, tz=tz), keys, full_day_intervals))
+    # Days of the calendar, not of the sites: this list stays short.
+    days = sorted(r["m_day"] for r in targets.select("m_day").distinct().collect() if r["m_day"] is not None)
+    since = F.least(today, day_ago, *([tk.day_start(F.lit(days[0]), tz)] if days else []))
     day_from, day_to = tk.day_start("m_day", tz), tk.day_end("m_day", tz)
-    targets = meter.select(*keys, day_from.alias("_from"), day_to.alias("_to"))
+    bounds = targets.select(*keys, day_from.alias("_from"), day_to.alias("_to"))
 
     def counts(df: DataFrame, prefix: str) -> DataFrame:
-        stamps = df.select(*keys, "ts").distinct().join(targets, keys, "left")
+        asked = within("ts", F.least(today, day_ago), now) | tk.local_day("ts", tz).isin(days)
+        stamps = df.filter((F.col("ts") >= since) & asked).select(*keys, "ts").distinct().join(bounds, keys, "left")
         return stamps.groupBy(*keys).agg(
             F.count_if(within("ts", today, now)).alias(f"{prefix}_today"),
             F.count_if(within("ts", day_ago, now)).alias(f"{prefix}_24h"),
@@ -826,7 +851,7 @@ def choose_window(
             intervals.select(*keys).unionByName(samples.select(*keys))
             .unionByName(zones.select(*keys)).distinct()
         )
-    out = sites.join(meter, keys, "left").join(counts(samples, "s"), keys, "left")
+    out = sites.join(targets, keys, "left").join(counts(samples, "s"), keys, "left")
     out = out.join(counts(zones, "z"), keys, "left")
 
     def at_least(name: str, n: int) -> Column:

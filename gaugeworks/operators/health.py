@@ -210,11 +210,12 @@ def section_state(age_seconds: Column, has_rows: Column, stale: Column, limited:
 
 def data_quality(
     intervals: DataFrame, samples: DataFrame, zones: DataFrame, now: Column,
-    windows: DataFrame, keys: Sequence[str] = ("site_id",),
+    windows: DataFrame, keys: Sequence[str] = ("site_id",), latest_of: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Rows in the window and freshness of each source per site.
 
-    Sources may be late by a day (meter), 5 minutes (samples) and 15 minutes (zones).
+    Sources may be late by a day (meter), 5 minutes (samples) and 15 minutes (zones). Where the frames
+    hold recent rows alone, ``latest_of`` brings each source's ``latest`` instant per site.
     """
     keys = list(keys)
     out = windows.select(*keys, "window_start", "window_end")
@@ -225,6 +226,9 @@ def data_quality(
         inside = (F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))
         stats = stamps.join(windows.select(*keys, "window_start", "window_end"), keys).groupBy(*keys).agg(
             F.count_if(inside).alias(f"{name}_rows"), F.max(latest).alias("_latest"))
+        if latest_of is not None:
+            stats = latest_of[name].select(*keys, F.col("latest").alias("_latest")).join(
+                stats.drop("_latest"), keys, "left")
         age = age_minutes(now, F.col("_latest"))
         stats = stats.select(*keys, f"{name}_rows", age.alias(f"{name}_age_minutes"))
         out = out.join(stats, keys, "left").withColumn(

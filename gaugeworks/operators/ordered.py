@@ -97,18 +97,20 @@ def carry_last_of(
     inclusive: bool = False,
     backwards: bool = False,
     bucket_seconds: int = DAY_SECONDS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """For each output name the nearest non-null payload earlier (later when ``backwards``).
 
-    ``order[0]`` must be the TIMESTAMP column; the rest break ties. ``inclusive`` lets a row
-    see its own payload. Equal to ``last(payload, ignorenulls)`` over the whole key, with the
-    key split into buckets. All payloads share one window and one table of bucket edges.
+    ``order[0]`` must be the TIMESTAMP column unless ``bucket`` brings a number that never falls
+    along the order; the rest break ties. ``inclusive`` lets a row see its own payload. Equal to
+    ``last(payload, ignorenulls)`` over the whole key, with the key split into buckets. All
+    payloads share one window and one table of bucket edges.
     """
     keys = list(keys)
     ranked = F.struct(*[F.col(c) for c in order])
     names = {out: f"_p{i}" for i, out in enumerate(payloads)}
     df = df.withColumns({names[out]: payload for out, payload in payloads.items()})
-    df = df.withColumn(BUCKET, bucket_of(order[0], bucket_seconds))
+    df = df.withColumn(BUCKET, bucket_of(order[0], bucket_seconds) if bucket is None else bucket)
     ordering = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     inside = (
         Window.partitionBy(*keys, BUCKET)
@@ -137,6 +139,38 @@ def carry_last_of(
     return joined.withColumns(found).drop(*scratch, BUCKET)
 
 
+def carry_last_with_ties(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    payloads: dict[str, Column],
+    *,
+    tie_width: int = 10_000,
+    bucket_seconds: int = DAY_SECONDS,
+) -> DataFrame:
+    """As ``carry_last_of`` in the order of ``ts`` and then of the whole number ``tie``, for data in
+    which one instant of a key may hold any number of rows.
+
+    An instant's rows are summarised by one mergeable aggregate, and only these summaries are carried
+    along the key. Inside an instant the same is done once more over slices of ``tie_width`` tie
+    numbers, so no window holds more than a slice or a bucket of instants.
+    """
+    keys = list(keys)
+    names = {out: f"_t{i}" for i, out in enumerate(payloads)}
+    df = df.withColumns({names[out]: payload for out, payload in payloads.items()})
+    instants = df.groupBy(*keys, ts).agg(*[
+        F.max_by(p, F.when(F.col(p).isNotNull(), F.col(tie))).alias(p) for p in names.values()])
+    before = carry_last_of(instants, keys, [ts], {f"{p}_before": F.col(p) for p in names.values()},
+                           bucket_seconds=bucket_seconds).drop(*names.values())
+    width = F.lit(tie_width)
+    slice_of = F.call_function("div", F.col(tie) - F.pmod(F.col(tie), width), width)
+    inside = carry_last_of(df, [*keys, ts], [tie], {f"{p}_own": F.col(p) for p in names.values()}, bucket=slice_of)
+    out = inside.join(before, [*keys, ts], "left")
+    scratch = [f"{p}{end}" for p in names.values() for end in ("", "_own", "_before")]
+    return out.withColumns({o: F.coalesce(f"{p}_own", f"{p}_before") for o, p in names.items()}).drop(*scratch)
+
+
 def gap_sessions(
     df: DataFrame,
     keys: Sequence[str],

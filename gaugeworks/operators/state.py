@@ -20,6 +20,7 @@ from gaugeworks.operators.ordered import (
     bucket_of,
     carry_last,
     carry_last_of,
+    carry_last_with_ties,
     latest_by,
 )
 from gaugeworks.session import cut_lineage
@@ -128,11 +129,20 @@ def fingerprint_of(codes: Column) -> Column:
         F.array_join(codes, "|"))
 
 
+def _carried(keys: list[str], ts: str, tie: str | None, bucket_seconds: int):
+    """How the last payloads before a row are found, with or without an order inside an instant."""
+    if tie is None:
+        return lambda rows, payloads: carry_last_of(rows, keys, [ts], payloads, bucket_seconds=bucket_seconds)
+    return lambda rows, payloads: carry_last_with_ties(
+        rows, keys, ts, tie, payloads, bucket_seconds=bucket_seconds)
+
+
 def alert_decisions(
     results: DataFrame,
     keys: Sequence[str] = ("backup_id",),
     *,
     ts: str = "ts",
+    tie: str | None = None,
     bucket_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """``decision`` (alert, recovery, none) per result, in time order of its key.
@@ -145,20 +155,20 @@ def alert_decisions(
     A delivered bad row, or a delivered healthy row right after a bad one, sends something
     for certain. From the first such row on, every delivered row leaves its fingerprint (or
     ``healthy``) as the last one sent: it either sends it or repeats it. So two prefix
-    lookups after the previous severity are enough, and they share one pass.
+    lookups after the previous severity are enough, and they share one pass. A whole number ``tie``
+    orders the rows of one instant, of which there may then be any number.
     """
     keys = list(keys)
-    options = {"bucket_seconds": bucket_seconds}
+    carried = _carried(keys, ts, tie, bucket_seconds)
     rows = results.withColumns({
         "severity": severity_of(F.col("status")), "fingerprint": fingerprint_of(F.col("issue_codes"))})
-    rows = carry_last(rows, keys, [ts], F.col("severity"), "_prev", **options)
+    rows = carried(rows, {"_prev": F.col("severity")})
     healthy = F.col("severity") == "healthy"
     was_bad = F.coalesce(F.col("_prev").isin("warning", "critical"), F.lit(False))
     sent = F.coalesce("delivered", F.lit(False))
     mark = F.when(healthy, F.lit("healthy")).otherwise(F.col("fingerprint"))
-    rows = carry_last_of(rows, keys, [ts], {
-        "_opened": F.when(sent & (~healthy | was_bad), F.lit(True)),
-        "_mark": F.when(sent, mark)}, **options)
+    rows = carried(rows, {
+        "_opened": F.when(sent & (~healthy | was_bad), F.lit(True)), "_mark": F.when(sent, mark)})
     rows = rows.withColumn("last_sent", F.when(F.col("_opened").isNotNull(), F.col("_mark")))
     last = F.col("last_sent")
     decision = (
@@ -180,19 +190,20 @@ def lifecycle(
     ts: str = "ts",
     target: str = "target",
     initial: str = "active",
+    tie: str | None = None,
     bucket_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Each command with the state it met and whether it was accepted.
 
     Active and paused lead to any other state, ended to none, and the same state is
     rejected. So the state a command meets is ``ended`` once any earlier command said so,
-    else the last valid target before it, else the initial state.
+    else the last valid target before it, else the initial state. A whole number ``tie`` orders the
+    commands of one instant, of which there may then be any number.
     """
     keys = list(keys)
     valid = F.when(F.col(target).isin(*STATES), F.col(target))
-    rows = carry_last_of(commands, keys, [ts], {
-        "_last": valid, "_over": F.when(F.col(target) == "ended", F.lit(True))},
-        bucket_seconds=bucket_seconds)
+    rows = _carried(keys, ts, tie, bucket_seconds)(
+        commands, {"_last": valid, "_over": F.when(F.col(target) == "ended", F.lit(True))})
     met = F.when(F.lit(initial == "ended") | F.col("_over").isNotNull(), "ended").otherwise(
         F.coalesce("_last", F.lit(initial)))
     rows = rows.withColumn("state_before", met).drop("_last", "_over")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators import series
 from gaugeworks.operators.ordered import top_n
 from gaugeworks.plans import (
+    analysis_queries,
     energy_queries,
     health_queries,
     match_queries,
@@ -24,7 +25,7 @@ from gaugeworks.session import utc_session
 
 _MODULES = (
     energy_queries, text_queries, match_queries, health_queries, page_queries, state_queries,
-    stream_queries,
+    stream_queries, analysis_queries,
 )
 
 

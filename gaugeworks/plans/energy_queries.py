@@ -26,7 +26,7 @@ from gaugeworks.plans.registry import plain, query, table
 
 GAP = 6 * HOUR
 TAIL = 2 * HOUR
-_HVAC_SQL = "('click', 'view')"
+HVAC_SQL = "('click', 'view')"
 
 
 def _integral_sql(source: str, by: str) -> str:
@@ -50,8 +50,8 @@ def w01(spark, sf):
     return plain(out.select("site_id", "day", "kwh", "sample_count"))
 
 
-_SESSIONS_SQL = f"""
-WITH {SQL_Z}, c AS (SELECT site_id, zone, ts FROM z WHERE action = 'COOLING'),
+SESSIONS_OF_Z = """
+c AS (SELECT site_id, zone, ts FROM z WHERE action = 'COOLING'),
 f AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000
                      THEN 0 ELSE 1 END AS fresh
       FROM c WINDOW w AS (PARTITION BY site_id, zone ORDER BY ts)),
@@ -59,6 +59,8 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY site_id, zone ORDER BY ts
                                  ROWS UNBOUNDED PRECEDING) AS sid FROM f),
 x AS (SELECT site_id, zone, min(ts) AS session_start, max(ts) AS session_end,
              count(*) AS sample_count FROM g GROUP BY site_id, zone, sid)"""
+_SESSIONS_SQL = f"""
+WITH {SQL_Z}, {SESSIONS_OF_Z.strip()}"""
 
 
 @query("w02_sessions", _SESSIONS_SQL + """
@@ -83,10 +85,9 @@ def w03(spark, sf):
 
 
 # Zone actions within the tolerance on either side of a peak, the nearer one, back on ties.
-_PEAKS_SQL = f"""
-WITH {SQL_S}, {SQL_Z}, {SQL_I},
+PEAKS_OF_S_Z_I = f"""
 tot AS (SELECT site_id, ts, round(sum(round(power_w / 1000, 4)), 4) AS total_kw,
-               round(sum(CAST(CASE WHEN channel IN {_HVAC_SQL} THEN round(power_w / 1000, 4)
+               round(sum(CAST(CASE WHEN channel IN {HVAC_SQL} THEN round(power_w / 1000, 4)
                               ELSE 0 END AS DECIMAL(18,4))), 2) AS hvac_kw
         FROM s GROUP BY site_id, ts),
 f AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY site_id ORDER BY ts))
@@ -122,6 +123,8 @@ pk AS (SELECT site_id, rank, ts, round(CAST(total_kw AS DECIMAL(18,4)), 2) AS to
             WHEN action IS NULL THEN 'Unknown — missing Nest data'
             ELSE 'Mixed load' END AS classification
 FROM k)"""
+_PEAKS_SQL = f"""
+WITH {SQL_S}, {SQL_Z}, {SQL_I},{PEAKS_OF_S_Z_I}"""
 
 
 def _peaks(spark, sf):
@@ -467,9 +470,7 @@ def a11(spark, sf):
     return plain(out.withColumn("failures", text))
 
 
-_WINDOW_SQL = f"""
-win AS (SELECT site_id, TIMESTAMP '2024-01-08' AS ws, TIMESTAMP '2024-01-15' AS we
-        FROM (SELECT DISTINCT site_id FROM i)),
+BREAKDOWN_OF_WIN = f"""
 pc AS (SELECT s.site_id, s.channel, s.ts, any_value(we) AS we, sum(power_w) AS power_w
        FROM s JOIN win ON win.site_id = s.site_id AND ts >= ws AND ts < we
        GROUP BY s.site_id, s.channel, s.ts),
@@ -480,7 +481,7 @@ pe AS (SELECT site_id, channel, round(sum(
                THEN power_w * ((epoch_us(nx) - epoch_us(ts)) / 1e6)
              ELSE 0 END) / 3.6e6, 4) AS kwh FROM pl GROUP BY site_id, channel),
 pr AS (SELECT site_id, round(sum(kwh), 4) AS monitored_kwh,
-        round(sum(CASE WHEN channel IN {_HVAC_SQL} THEN kwh ELSE 0 END), 4) AS hvac_kwh,
+        round(sum(CASE WHEN channel IN {HVAC_SQL} THEN kwh ELSE 0 END), 4) AS hvac_kwh,
         string_agg(channel || '=' || printf('%.4f', kwh), ',' ORDER BY channel) AS channel_kwh
        FROM pe WHERE kwh > 0 GROUP BY site_id),
 mt AS (SELECT i.site_id, round(sum(kwh), 4) AS meter_kwh FROM i JOIN win ON win.site_id = i.site_id
@@ -488,6 +489,9 @@ mt AS (SELECT i.site_id, round(sum(kwh), 4) AS meter_kwh FROM i JOIN win ON win.
 bd AS (SELECT win.site_id, coalesce(meter_kwh, 0) AS meter_kwh, channel_kwh,
               coalesce(monitored_kwh, 0) AS monitored_kwh, coalesce(hvac_kwh, 0) AS hvac_kwh
        FROM win LEFT JOIN mt ON mt.site_id = win.site_id LEFT JOIN pr ON pr.site_id = win.site_id)"""
+_WINDOW_SQL = f"""
+win AS (SELECT site_id, TIMESTAMP '2024-01-08' AS ws, TIMESTAMP '2024-01-15' AS we
+        FROM (SELECT DISTINCT site_id FROM i)),{BREAKDOWN_OF_WIN}"""
 
 
 def _fixed_windows(spark, sf):
@@ -522,7 +526,7 @@ def a12(spark, sf):
 @query("a13_trends", f"""
 WITH {SQL_T}, {SQL_Z}, {SQL_I}, {_integral_sql('t', 'site_id, day')},
 h AS (SELECT site_id, ts, any_value(day) AS day, sum(power_w) AS power_w FROM s
-      WHERE channel IN {_HVAC_SQL} GROUP BY site_id, ts),
+      WHERE channel IN {HVAC_SQL} GROUP BY site_id, ts),
 hs AS (SELECT *, lead(ts) OVER (PARTITION BY site_id, day ORDER BY ts) AS nx FROM h),
 he AS (SELECT site_id, day, round(sum(
         CASE WHEN nx IS NULL THEN power_w * least(7200.0,
@@ -564,7 +568,7 @@ def a13(spark, sf):
 # Looser limits than the defaults: the stand-in samples are hours apart.
 _SHARES_SQL = f"""
 sd AS (SELECT * FROM s WHERE day BETWEEN DATE '2024-01-15' AND DATE '2024-01-28'
-       AND channel IN {_HVAC_SQL}),
+       AND channel IN {HVAC_SQL}),
 md AS (SELECT site_id, CAST(start_ts - INTERVAL 6 HOUR AS DATE) AS day, CAST(round(sum(kwh), 4) AS DECIMAL(18,4)) AS meter,
               round(100.0 * count(*) / 4, 1) AS cov FROM i GROUP BY ALL),
 sites AS (SELECT DISTINCT site_id FROM (
@@ -602,7 +606,7 @@ jd AS (SELECT d.site_id, d.day, md.meter, coalesce(md.cov, 0.0) AS mcov, dq.wors
        LEFT JOIN mo USING (site_id, day)),
 ch AS (SELECT site_id, max(day) AS day, arg_max(meter, day) AS meter, arg_max(monitored, day) AS monitored
        FROM jd WHERE valid GROUP BY site_id)"""
-_SHARE_OPTIONS = dict(
+SHARE_OPTIONS = dict(
     channels=HVAC_CHANNELS, interval_minutes=INTERVAL_MINUTES, poll_seconds=12 * HOUR,
     meter_threshold=75.0, channel_threshold=50.0, edge_seconds=20 * HOUR,
     max_gap_seconds=16 * HOUR, tail_seconds=TAIL,
@@ -621,7 +625,7 @@ FROM ch CROSS JOIN (VALUES ('click'), ('view'), ('unmonitored')) c(channel)
 LEFT JOIN pe ON pe.site_id = ch.site_id AND pe.day = ch.day AND pe.channel = c.channel""")
 def a14(spark, sf):
     slices, _ = energy.valid_day_shares(
-        intervals(spark, sf), samples(spark, sf), now(), **_SHARE_OPTIONS)
+        intervals(spark, sf), samples(spark, sf), now(), **SHARE_OPTIONS)
     return plain(slices)
 
 
@@ -635,11 +639,11 @@ SELECT site_id, bool_or(valid) AS available,
 FROM jd GROUP BY site_id""")
 def a14_diagnostics(spark, sf):
     _, diagnostics = energy.valid_day_shares(
-        intervals(spark, sf), samples(spark, sf), now(), **_SHARE_OPTIONS)
+        intervals(spark, sf), samples(spark, sf), now(), **SHARE_OPTIONS)
     return plain(diagnostics.drop("latest_failures"))
 
 
-_CYCLES_SQL = """
+CYCLES_OF_X = """
 cy AS (SELECT site_id, zone, session_start, session_end,
               (epoch_us(session_end) - epoch_us(session_start)) / 6e7 AS minutes FROM x),
 cs AS (SELECT site_id, count(*) AS cycle_count, round(sum(minutes), 1) AS total_runtime_minutes,
@@ -654,7 +658,7 @@ def _cycles(spark, sf):
         sessions, samples(spark, sf), compressor="click", cell_seconds=6 * HOUR)
 
 
-@query("a15_cycle_stats", _SESSIONS_SQL + f""", {_CYCLES_SQL},
+@query("a15_cycle_stats", _SESSIONS_SQL + f""", {CYCLES_OF_X},
 pw AS (SELECT cy.site_id, round(avg(e.value * 3.14159) / 1000, 3) AS kw FROM cy JOIN events e
        ON e.user_id = cy.site_id AND e.event_type = 'click' AND e.value > 0
        AND e.ts BETWEEN cy.session_start AND cy.session_end GROUP BY cy.site_id)
@@ -712,7 +716,7 @@ UNION ALL SELECT site_id, 'channel', channel, epoch_us(ts), NULL, round(power_w
 UNION ALL SELECT site_id, 'monitored_total', NULL, epoch_us(ts), NULL, round(sum(power_w) / 1000, 4), NULL
   FROM sw GROUP BY site_id, ts
 UNION ALL SELECT site_id, 'hvac_total', NULL, epoch_us(ts), NULL, round(sum(power_w) / 1000, 4), NULL
-  FROM sw WHERE channel IN {_HVAC_SQL} GROUP BY site_id, ts
+  FROM sw WHERE channel IN {HVAC_SQL} GROUP BY site_id, ts
 UNION ALL SELECT site_id, 'zone_sample', zone, epoch_us(ts), NULL, NULL, action FROM zw
 UNION ALL SELECT site_id, 'cooling_band', NULL, epoch_us(min(ts)), epoch_us(max(ts)), NULL, NULL
   FROM g GROUP BY site_id, sid""")
@@ -760,9 +764,7 @@ def w09(spark, sf):
     return plain(out)
 
 
-@query("r01_findings", _PEAKS_SQL + f""", {_WINDOW_SQL},
-{_SESSIONS_SQL.replace('WITH ' + SQL_Z + ',', '').replace('c AS (', 'sc AS (').replace('FROM c WINDOW', 'FROM sc WINDOW').replace('f AS (SELECT *, CASE', 'sf AS (SELECT *, CASE').replace('FROM f)', 'FROM sf)').replace('g AS (SELECT *, sum', 'sg AS (SELECT *, sum').replace('FROM g GROUP', 'FROM sg GROUP')},
-{_CYCLES_SQL},
+FINDINGS_OF_BD_PK_CS = """
 top AS (SELECT * FROM pk WHERE rank = 1),
 o AS (SELECT coalesce(bd.site_id, top.site_id, cs.site_id) AS site_id, top.ts, top.total_kw,
         top.remainder_kw, bd.meter_kwh, bd.monitored_kwh, bd.hvac_kwh,
@@ -784,7 +786,13 @@ SELECT site_id, concat_ws(' ',
        WHEN mins > 0 THEN 'Cooling ran for ' || mm || ' minute' || CASE WHEN mm = 1 THEN '' ELSE 's' END || '.' END,
   CASE WHEN remainder_kw > 0.5 THEN 'Estimated unmonitored load at peak: '
      || CAST(round(remainder_kw, 1) AS VARCHAR) || ' kW (SMT whole-home minus measured circuits).' END) AS findings
-FROM o""")
+FROM o"""
+
+
+@query("r01_findings", _PEAKS_SQL + f""", {_WINDOW_SQL},
+{_SESSIONS_SQL.replace('WITH ' + SQL_Z + ',', '').replace('c AS (', 'sc AS (').replace('FROM c WINDOW', 'FROM sc WINDOW').replace('f AS (SELECT *, CASE', 'sf AS (SELECT *, CASE').replace('FROM f)', 'FROM sf)').replace('g AS (SELECT *, sum', 'sg AS (SELECT *, sum').replace('FROM g GROUP', 'FROM sg GROUP')},
+{CYCLES_OF_X},
+{FINDINGS_OF_BD_PK_CS}""")
 def r01(spark, sf):
     out = energy.findings(_peaks(spark, sf), _breakdown(spark, sf), _cycles(spark, sf))
     return out.withColumn("findings", F.array_join("findings", " "))

@@ -1,4 +1,4 @@
-"""Stream operators and the full analysis as queries over batch frames.
+"""Stream operators as queries over batch frames.
 
 The same functions serve streams and batches; successive batches are played one after the other.
 """
@@ -7,31 +7,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeworks.plans import analysis
 from gaugeworks.plans.bindings import (
-    CHANNELS,
     HOUR,
-    HVAC_CHANNELS,
-    INTERVAL_MINUTES,
     SQL_I,
     SQL_NOW,
     SQL_Z,
     intervals,
     now,
-    samples,
     zones,
 )
 from gaugeworks.plans.registry import plain, query, table
+from gaugeworks.session import shared_scratch
 from gaugeworks.sinks import tables as sinks
+from gaugeworks.sinks.archive import append_days, read_archive
 from gaugeworks.streaming import samples as streams
 
 
-def _in_batches(rows, part, keys, order):
-    """Archive after three successive batches, ``part`` saying which row is in which."""
-    archive = rows.limit(0)
-    for number in range(3):
-        archive = archive.union(sinks.archive_rows(archive, rows.filter(part == number), keys, order))
-    return archive
+def _archived(spark, rows, part, keys, order, ts):
+    """A written archive after three successive batches, ``part`` saying which row is in which; the
+    second batch is sent twice."""
+    path = shared_scratch(spark, "archive")
+    for number in (0, 1, 1, 2):
+        append_days(rows.filter(part == number), path, f"{number:012d}", keys, order, ts=ts)
+    return read_archive(spark, path, rows.schema, keys)
 
 
 @query("x02_archive", f"""
@@ -42,7 +40,7 @@ def x02(spark, sf):
     last two weeks."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("site_id"), "ts", "event_id")
     repeated = e.union(e.filter("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 1_000_000_000))
-    archive = _in_batches(repeated, F.col("event_id") % 1_000_000_000 % 3, ["site_id", "ts"], ["event_id"])
+    archive = _archived(spark, repeated, F.col("event_id") % 1_000_000_000 % 3, ["site_id", "ts"], ["event_id"], "ts")
     rolling = sinks.roll_window(archive.limit(0), archive, now()).select(
         "site_id", "ts", F.lit(True).alias("rolling"))
     return plain(archive.join(rolling, ["site_id", "ts"], "left").select(
@@ -77,21 +75,6 @@ def x07(spark, sf):
     """Intervals that come days late and again enter the table once."""
     rows = intervals(spark, sf)
     day = F.day("start_ts")
-    late = _in_batches(rows.union(rows.filter(day % 2 == 0)), day % 3, ["site_id", "provider", "start_ts", "end_ts"],
-                       ["start_ts"])
-    return plain(late.withColumn("kwh", F.round("kwh", 9)))
-
-
-@query("r02_analysis", f"""
-WITH {SQL_Z}, {SQL_I}, p AS (SELECT site_id, coalesce(max(zone) FILTER (WHERE zone = 'downstairs'), min(zone)) AS zone FROM z GROUP BY site_id),
-m AS (SELECT site_id, greatest(0, (epoch_us({SQL_NOW}) - epoch_us(max(end_ts))) // 60000000) AS meter_age_minutes FROM i GROUP BY site_id),
-t AS (SELECT site_id, greatest(0, (epoch_us({SQL_NOW}) - epoch_us(max(ts))) // 60000000) AS sample_age_minutes FROM z GROUP BY site_id)
-SELECT site_id, zone, meter_age_minutes, sample_age_minutes FROM m JOIN t USING (site_id) JOIN p USING (site_id)""")
-def r02(spark, sf):
-    """One row per analysed site: the zone that stands for it and the age of its sources."""
-    parts = analysis.analyse(
-        intervals(spark, sf), samples(spark, sf), zones(spark, sf), now(), channels=CHANNELS,
-        hvac_channels=HVAC_CHANNELS, compressor="click", interval_minutes=INTERVAL_MINUTES,
-        max_gap_seconds=6 * HOUR, poll_seconds=HOUR)
-    return parts["window"].select("site_id").join(parts["primary_zone"], "site_id", "left").join(
-        parts["quality"].select("site_id", "meter_age_minutes", "sample_age_minutes"), "site_id", "left")
+    keys = ["site_id", "provider", "start_ts", "end_ts"]
+    late = _archived(spark, rows.union(rows.filter(day % 2 == 0)), day % 3, keys, ["start_ts"], "start_ts")
+    return plain(late.select(*rows.columns).withColumn("kwh", F.round("kwh", 9)))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's own state store that timers, lists and maps of keyed streams need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: int | str = "*", app: str = "gaugeworks", **conf) -> SparkSession:
     """Session for tests and single-machine runs; a cluster brings its own."""
     os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
@@ -19,6 +24,7 @@ def local_session(cores: int | str = "*", app: str = "gaugeworks", **conf) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -64,6 +70,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; gone when the session ends."""
+    folder = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder; survives the loss of executors."""
     checkpoint_root(df.sparkSession)

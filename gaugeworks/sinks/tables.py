@@ -164,20 +164,29 @@ def rewrite_rolling(
 ) -> None:
     """Add rows to the day-partitioned table ``name`` and drop what left the window.
 
-    Only the days the batch touches are rewritten (dynamic partition overwrite); expired
-    days are dropped as whole partitions, which reads and writes no data.
+    Only the days the batch touches are read and rewritten (their names, at most one a day of
+    the calendar, become literals that prune the partitions); expired days are dropped as whole
+    partitions, which reads and writes no data.
     """
     spark = incoming.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    fresh = incoming.withColumn("day", F.to_date(ts))
+    fresh = within_retention(incoming, now, days=days, ts=ts).withColumn("day", F.to_date(ts))
     if not spark.catalog.tableExists(name):
-        first = earliest_by(within_retention(fresh, now, days=days, ts=ts), keys, [ts])
+        first = earliest_by(fresh, keys, [ts])
         first.select(*fresh.columns).write.partitionBy("day").format("parquet").saveAsTable(name)
         return
     current = spark.table(name)
-    touched = current.join(F.broadcast(fresh.select("day").distinct()), "day", "left_semi")
-    merged = roll_window(touched, fresh.select(*current.columns), now, keys=keys, days=days, ts=ts)
-    cut_lineage(merged).select(*current.columns).write.mode("overwrite").insertInto(name)
+    touched = [r["day"] for r in fresh.select("day").distinct().collect()]
+    if touched:
+        merged = roll_window(current.filter(F.col("day").isin(touched)), fresh.select(*current.columns), now,
+                             keys=keys, days=days, ts=ts)
+        # The rows replace what they are read from, hence the cut. The overwrite mode is an option of
+        # this write; tables know it as a setting of the session alone.
+        folder = spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()["data_type"]
+        cut_lineage(merged).select(*current.columns).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+        days_named = " ".join(f"PARTITION (day='{day}')" for day in touched)
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {days_named}")
+        spark.catalog.refreshTable(name)
     cutoff = F.to_date(F.timestamp_micros(F.unix_micros(now) - int(days * 86_400_000_000)))
     partitions = spark.sql(f"SHOW PARTITIONS {name}")
     stale = partitions.filter(

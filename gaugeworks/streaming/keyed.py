@@ -1,4 +1,8 @@
-"""Keyed state streams: alert decisions, pending batches with expiry, lifecycles."""
+"""Keyed state streams: alert decisions, lifecycles, pending batches with expiry.
+
+Each is a fold over the rows of a key in event time (``in_order``): a row is decided when the
+watermark has passed it, so late rows within ``lateness`` are decided in their place.
+"""
 
 from __future__ import annotations
 
@@ -7,118 +11,143 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeworks.operators.state import STATES, TTL_MINUTES, fingerprint_of, severity_of
+from gaugeworks.streaming.in_order import Fold, State, fold_in_order, output
+
+
+def _after(us: int, seconds: float | None) -> int | None:
+    return None if seconds is None else us + int(seconds * 1_000_000)
+
+
+def alert_fold(idle_seconds: float | None = None) -> Fold:
+    """State: last severity, last fingerprint sent, instant of the last row."""
+    def step(state: State, us: int, row: tuple) -> tuple[State, list[tuple]]:
+        previous, sent, _ = state or ("healthy", None, us)
+        severity, fingerprint, delivered = row
+        if severity == "healthy":
+            fingerprint = "healthy"
+            due = sent != "healthy" and (previous in ("warning", "critical") or sent is not None)
+            kind = "recovery" if due else "none"
+        else:
+            kind = "none" if sent == fingerprint else "alert"
+        if kind != "none" and delivered:
+            sent = fingerprint
+        return (severity, sent, us), [(us, severity, kind)]
+
+    return Fold(
+        "severity string, sent string, at long", ("severity", "fingerprint", "delivered"),
+        "_us long, severity string, decision string", step, lambda state: _after(state[2], idle_seconds))
+
+
+def alert_decisions(stream: DataFrame, key: str = "backup_id", *, lateness: str = "0 seconds",
+                    idle_seconds: float | None = None, slot_seconds: float = 60) -> DataFrame:
+    """Decision per result row, as ``operators.state.alert_decisions`` gives it.
+
+    With ``idle_seconds`` a key without a result for so long begins anew and holds no state.
+    """
+    return fold_in_order(stream, alert_fold(idle_seconds), [key], {
+        "severity": severity_of(F.col("status")), "fingerprint": fingerprint_of(F.col("issue_codes")),
+        "delivered": F.coalesce("delivered", F.lit(False))}, lateness=lateness, slot_seconds=slot_seconds)
 
 
-def _in_order(batches: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(column, kind="stable")
-
-
-def alert_decisions(stream: DataFrame, key: str = "backup_id") -> DataFrame:
-    """Decision per result row. State: last severity and the last fingerprint sent."""
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def decide(group, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, sent = state.get if state.exists else ("healthy", None)
-        out = []
-        rows = _in_order(batches, "_us")
-        for us, severity, fingerprint, delivered in zip(
-            rows["_us"], rows["severity"], rows["fingerprint"], rows["delivered"]
-        ):
-            if severity == "healthy":
-                fingerprint = "healthy"
-                due = sent != "healthy" and (previous in ("warning", "critical") or sent is not None)
-                kind = "recovery" if due else "none"
-            else:
-                kind = "none" if sent == fingerprint else "alert"
-            if kind != "none" and delivered:
-                sent = fingerprint
-            previous = severity
-            out.append((group[0], us, severity, kind))
-        state.update((previous, sent))
-        yield pd.DataFrame(out, columns=[key, "_us", "severity", "decision"])
-
-    rows = stream.select(
-        key, F.unix_micros("ts").alias("_us"), severity_of(F.col("status")).alias("severity"),
-        fingerprint_of(F.col("issue_codes")).alias("fingerprint"),
-        F.coalesce("delivered", F.lit(False)).alias("delivered"))
-    out = rows.groupBy(key).applyInPandasWithState(
-        decide, f"`{key}` {key_type}, _us long, severity string, decision string",
-        "severity string, sent string", "append", GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("_us").alias("ts"), "severity", "decision")
-
-
-def lifecycle(stream: DataFrame, key: str = "search_id", initial: str = "active") -> DataFrame:
+def lifecycle_fold(initial: str = "active") -> Fold:
+    def step(state: State, us: int, row: tuple) -> tuple[State, list[tuple]]:
+        current, target = state[0] if state else initial, row[0]
+        accepted = current != "ended" and target in STATES and target != current
+        return (target if accepted else current,), [(us, target, current, accepted)]
+
+    return Fold("status string", ("target",), "_us long, target string, state_before string, accepted boolean", step)
+
+
+def lifecycle(stream: DataFrame, key: str = "search_id", initial: str = "active", *, lateness: str = "0 seconds",
+              slot_seconds: float = 60) -> DataFrame:
     """Commands with the state they met and whether they were accepted. State: the status."""
-    key_type = stream.schema[key].dataType.simpleString()
+    return fold_in_order(stream, lifecycle_fold(initial), [key], {"target": F.col("target")},
+                         lateness=lateness, slot_seconds=slot_seconds)
+
+
+# ---- pending batches -----------------------------------------------------------------
 
-    def fold(group, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else initial
-        out = []
-        rows = _in_order(batches, "_us")
-        for us, target in zip(rows["_us"], rows["target"]):
-            accepted = current != "ended" and target in STATES and target != current
-            out.append((group[0], us, target, current, accepted))
-            current = target if accepted else current
-        state.update((current,))
-        yield pd.DataFrame(out, columns=[key, "_us", "target", "state_before", "accepted"])
+_BATCH = "items array<string>, saved long"
 
-    out = stream.select(key, F.unix_micros("ts").alias("_us"), "target").groupBy(key).applyInPandasWithState(
-        fold, f"`{key}` {key_type}, _us long, target string, state_before string, accepted boolean",
-        "status string", "append", GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("_us").alias("ts"), "target", "state_before", "accepted")
+
+def changed(items: list, saved: int | None, us: int, row: tuple) -> tuple[list, int | None]:
+    """Items and time of a chat's batch after the command ``(action, items, positions, names)``."""
+    action, new, positions, names = row
+    if action == "save":
+        return list(new if new is not None else []), us
+    if action == "clear":
+        return [], None
+    if action == "remove" and saved is not None:
+        drop = {int(p) for p in (positions if positions is not None else [])}
+        gone = set(names if names is not None else [])
+        items = [x for i, x in enumerate(items, 1) if i not in drop and x not in gone]
+        return items, us if items else None
+    return items, saved
+
+
+def pending_fold(ttl_minutes: float = TTL_MINUTES) -> Fold:
+    """State: the batch of the chat and when it was last written; void after its time to live."""
+    def step(state: State, us: int, row: tuple) -> tuple[State, list[tuple]]:
+        items, saved = changed(*(state or ([], None)), us, row)
+        after = None if saved is None else (items, saved)
+        return after, [(us, "empty" if after is None else "saved", items)]
+
+    return Fold(
+        _BATCH, ("action", "items", "positions", "names"), "_us long, event string, items array<string>", step,
+        lambda state: _after(state[1], ttl_minutes * 60), lambda state, us: [(us, "expired", list(state[0]))])
 
 
 def pending_batches(stream: DataFrame, key: str = "chat_key", ttl_minutes: float = TTL_MINUTES,
-                    lateness: str = "0 seconds") -> DataFrame:
+                    lateness: str = "0 seconds", slot_seconds: float = 60) -> DataFrame:
     """Current batch of a chat after each command, and its end when it expires.
 
     Input: key, ts, action (save, remove, clear), items array<string> for a save and
     positions array<int> (1-based) plus names array<string> for a remove. State is the
-    batch of the chat; it goes away on clear, when emptied, or at its event-time timeout.
+    batch of the chat; it goes away on clear, when emptied, or at the end of its time to live in
+    event time, with or without another command of the chat.
     """
-    key_type = stream.schema[key].dataType.simpleString()
-    ttl = int(ttl_minutes * 60_000)
-
-    def run(group, batches, state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [key, "_us", "event", "items"]
-        if state.hasTimedOut:
-            items, saved = list(state.get[0]), state.get[1]
-            state.remove()
-            yield pd.DataFrame([(group[0], (saved + ttl) * 1000, "expired", items)], columns=columns)
-            return
-        items, saved = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        out = []
-        rows = _in_order(batches, "_us")
-        for row in rows.itertuples(index=False):
-            at = int(row.us) // 1000
-            if saved is not None and at >= saved + ttl:
-                out.append((group[0], (saved + ttl) * 1000, "expired", items))
-                items, saved = [], None
-            if row.action == "save":
-                items, saved = list(row.items), at
-            elif saved is not None and row.action == "remove":
-                drop = {int(p) for p in (row.positions if row.positions is not None else [])}
-                names = set(row.names if row.names is not None else [])
-                items = [x for i, x in enumerate(items, 1) if i not in drop and x not in names]
-                saved = at if items else None
-            elif row.action == "clear":
-                items, saved = [], None
-            out.append((group[0], int(row.us), "saved" if saved is not None else "empty", items))
-        if saved is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((items, saved))
-            state.setTimeoutTimestamp(max(saved + ttl, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    rows = stream.withWatermark("ts", lateness).select(
-        key, "ts", F.unix_micros("ts").alias("us"), F.unix_micros("ts").alias("_us"), "action", "items",
-        "positions", "names")
-    out = rows.groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {key_type}, _us long, event string, items array<string>",
-        "items array<string>, saved long", "append", GroupStateTimeout.EventTimeTimeout)
+    return fold_in_order(stream, pending_fold(ttl_minutes), [key], {
+        name: F.col(name) for name in ("action", "items", "positions", "names")}, lateness=lateness, slot_seconds=slot_seconds)
+
+
+class _Latest(StatefulProcessor):
+    """The batch of a chat as it is held, in the order of arrival."""
+
+    def __init__(self, key: str, ttl_ms: int):
+        self.key, self.ttl_ms = key, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.batch = handle.getValueState("batch", _BATCH, ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = self.batch.get()
+        items, saved = ([], None) if found is None else (list(found[0]), found[1])
+        for frame in rows:
+            out = []
+            for _, us, *row in frame.itertuples(index=False, name=None):
+                items, saved = changed(items, saved, int(us), tuple(row))
+                out.append((key[0], int(us), "empty" if saved is None else "saved", items))
+            yield output(out, [self.key, "_us", "event", "items"])
+        if saved is not None:
+            self.batch.update((items, saved))
+        elif found is not None:
+            self.batch.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def held_batches(stream: DataFrame, key: str = "chat_key", ttl_minutes: float = TTL_MINUTES) -> DataFrame:
+    """As ``pending_batches``, decided on arrival: state lives ``ttl_minutes`` of the clock after its
+    last write and is then absent, as the state store's own time to live has it. Commands of
+    one micro-batch are taken in its order; nothing is put out when a batch expires."""
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(key, F.unix_micros("ts").alias("_us"), "action", "items", "positions", "names")
+    out = rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Latest(key, int(ttl_minutes * 60_000)),
+        outputStructType=f"`{key}` {kind}, _us long, event string, items array<string>",
+        outputMode="Append", timeMode="ProcessingTime")
     return out.select(key, F.timestamp_micros("_us").alias("ts"), "event", "items")

@@ -7,39 +7,33 @@ bounded by the allowed lateness.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeworks.operators.series import COOLING
-from gaugeworks.operators.state import accepted_chain
-from gaugeworks.sinks.tables import append_new, rewrite_rolling
+from gaugeworks.sinks.archive import append_days
+from gaugeworks.sinks.tables import rewrite_rolling
+from gaugeworks.streaming.in_order import Fold, State, fold_in_order
 
 
-def throttle(stream: DataFrame, key: str, interval_seconds: float, *, ts: str = "ts") -> DataFrame:
-    """Accepted instants per key. State is one number per key, the last accepted instant.
+def throttle_fold(interval_seconds: float) -> Fold:
+    """State: the last accepted instant, which says nothing any more once the interval is over."""
+    interval = int(interval_seconds * 1_000_000)
 
-    Rows of one micro-batch are ordered before they are judged; a row older than the last
-    accepted one is not accepted, as in the batch form for data in order.
-    """
-    step = int(interval_seconds * 1_000_000)
-    key_type = stream.schema[key].dataType.simpleString()
+    def step(state: State, us: int, row: tuple) -> tuple[State, list[tuple]]:
+        return (state, []) if state is not None and us < state[0] + interval else ((us,), [(us,)])
+
+    return Fold("last long", (), "_us long", step, lambda state: state[0] + interval)
 
-    def judge(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = np.unique(np.concatenate([b["_us"].to_numpy() for b in batches]))
-        first = int(np.searchsorted(times, state.get[0] + step)) if state.exists else 0
-        picked = accepted_chain(times, first, step)
-        if len(picked):
-            state.update((int(times[picked[-1]]),))
-            yield pd.DataFrame({key: [group[0]] * len(picked), "_us": times[picked]})
 
-    out = stream.select(key, F.unix_micros(ts).alias("_us")).groupBy(key).applyInPandasWithState(
-        judge, f"`{key}` {key_type}, _us long", "last long", "append", GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("_us").alias(ts))
+def throttle(stream: DataFrame, key: str, interval_seconds: float, *, ts: str = "ts",
+             lateness: str = "0 seconds", slot_seconds: float = 60) -> DataFrame:
+    """Accepted instants per key, as ``operators.state.throttle`` gives them. A key without rows for
+    longer than the interval holds no state."""
+    return fold_in_order(stream, throttle_fold(interval_seconds), [key], {}, ts=ts, lateness=lateness,
+                         slot_seconds=slot_seconds)
 
 
 def deduplicated(stream: DataFrame, keys: Sequence[str] = ("site_id", "ts"), *, ts: str = "ts",
@@ -49,13 +43,14 @@ def deduplicated(stream: DataFrame, keys: Sequence[str] = ("site_id", "ts"), *,
 
 
 def archive_batch(archive_path: str, rolling_table: str, now, keys: Sequence[str] = ("site_id", "ts"),
-                  days: float = 14):
+                  days: float = 14, order: Sequence[str] = ("ts",)):
     """``foreachBatch`` writer: insert-or-ignore into the archive, then the rolling table.
 
-    Both writes may run again for a batch without adding a row twice.
+    Both writes may run again for a batch without adding a row twice; of either store only the days
+    that the batch touches are read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch.withColumn("day", F.to_date("ts")), archive_path, keys, ["ts"], ["day"])
+        append_days(batch, archive_path, f"{batch_id:012d}", keys, order)
         rewrite_rolling(batch, rolling_table, now, keys=keys, days=days)
 
     return write
@@ -89,9 +84,9 @@ def host_windows(stream: DataFrame, keys: Sequence[str] = ("host",), *, length:
 def late_interval_batch(path: str, keys: Sequence[str] = ("site_id", "provider", "start_ts", "end_ts")):
     """``foreachBatch`` writer for intervals that arrive days late: insert-or-ignore by key.
 
-    There is no watermark, so nothing is too late for the table.
+    There is no watermark, so nothing is too late for the table. Days are those of the start.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch, path, keys, ["start_ts"])
+        append_days(batch, path, f"{batch_id:012d}", keys, ["start_ts"], ts="start_ts")
 
     return write

@@ -241,12 +241,17 @@ def test_contains_pairs_against_brute_force(spark):
     assert got == sorted((a, b) for a, t in hay for b, w in needles if w in t)
 
 
-def test_contains_pairs_same_result_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "broadcast_if_small", lambda df: df)
+def test_contains_pairs_same_result_without_broadcast(spark):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
     h = spark.createDataFrame([(1, "red ring"), (2, "pineapple")], "hid int, text string")
     n = spark.createDataFrame([(1, "apple"), (2, "ri"), (3, "g")], "nid int, needle string")
-    out = joins.contains_pairs(h, n, hay_text="text", needle_text="needle")
-    assert sorted((r["hid"], r["nid"]) for r in out.collect()) == [(1, 2), (1, 3), (2, 1)]
+    try:
+        spark.conf.set(setting, "-1")
+        out = joins.contains_pairs(h, n, hay_text="text", needle_text="needle")
+        assert sorted((r["hid"], r["nid"]) for r in out.collect()) == [(1, 2), (1, 3), (2, 1)]
+    finally:
+        spark.conf.set(setting, before)
 
 
 # ---- energy --------------------------------------------------------------------------

@@ -100,6 +100,32 @@ def test_alerts_stream_equals_batch(spark, tmp_path):
     assert {r["decision"] for r in batch.collect()} == {"alert", "recovery", "none"}
 
 
+@pytest.mark.parametrize("n", [400, 100_000])
+def test_any_number_of_rows_at_one_instant(spark, n):
+    """Rows of few instants in the order of their number, against the streaming fold over that order."""
+    rng = random.Random(n)
+    kinds = [("ok", []), ("warning", ["W"]), ("critical", ["A"]), ("critical", ["A", "B"])]
+    rows = [("x", at(600 if i > 40 else i % 3 * 300), i * 37 - 5000, *rng.choice(kinds), rng.random() < 0.6) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(
+        rows, "backup_id string, ts timestamp, tie long, status string, issue_codes array<string>, delivered boolean")
+    out = state.alert_decisions(df, tie="tie").select("ts", "tie", "decision").collect()
+    severity = {"ok": "healthy"}
+    ordered = sorted(rows, key=lambda r: r[1:3])
+    _, want = keyed.alert_fold().run(None, (
+        (i, severity.get(s, s), "|".join(codes) or "healthy", d) for i, (_, _, _, s, codes, d) in enumerate(ordered)))
+    assert [r["decision"] for r in sorted(out, key=lambda r: (r["ts"], r["tie"]))] == [kind for _, _, kind in want]
+
+
+def test_commands_of_one_instant_have_an_order(spark):
+    rng = random.Random(2)
+    rows = [("x", at(i // 50), i, rng.choice(["active", "paused", "odd", "active", "paused"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "search_id string, ts timestamp, tie long, target string")
+    out = state.lifecycle(df, tie="tie").orderBy("ts", "tie").collect()
+    _, want = keyed.lifecycle_fold().run(None, ((i, target) for i, (*_, target) in enumerate(rows)))
+    assert [(r["target"], r["state_before"], r["accepted"]) for r in out] == [w[1:] for w in want]
+
+
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     rng = random.Random(8)
     rows = [(rng.choice("abcd"), at(i * 500), rng.choice(["active", "paused", "paused", "active", "ended", "odd"]))
