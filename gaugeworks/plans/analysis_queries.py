@@ -73,7 +73,7 @@ tl AS (SELECT site_id, count(*) AS rows, count_if(kind = 'b') AS bands FROM (
   UNION ALL SELECT site_id, 'z' FROM z_in UNION ALL SELECT site_id, 'b' FROM bf WHERE fresh = 1) GROUP BY site_id),
 trend AS (SELECT site_id, count_if(adequate_coverage) AS days, round(sum(meter_kwh), 2) AS kwh, sum(cooling_minutes) AS cooling,
   max(peak_kw) AS peak FROM ({ORACLES['a13_trends']}) GROUP BY site_id),
-share AS (SELECT site_id, any_value(day) AS day, count(*) AS slices, round(sum(kwh), 2) AS kwh FROM ({ORACLES['a14_day_shares']}) GROUP BY site_id),
+share AS (SELECT site_id, any_value(day) AS day, count(*) AS slices, round(sum(kwh), 3) AS kwh FROM ({ORACLES['a14_day_shares']}) GROUP BY site_id),
 diag AS ({ORACLES['a14_day_diagnostics']}),
 age AS (SELECT site_id, greatest(0, (epoch_us({SQL_NOW}) - epoch_us(max(ts))) // 60000000) AS age FROM z0 GROUP BY site_id),
 mage AS (SELECT site_id, greatest(0, (epoch_us({SQL_NOW}) - epoch_us(max(end_ts))) // 60000000) AS age FROM i0 GROUP BY site_id),
@@ -122,7 +122,7 @@ def figures(frames: dict[str, DataFrame]) -> DataFrame:
         F.count_if("adequate_coverage").alias("trend_days"), F.round(F.sum("meter_kwh"), 2).alias("trend_kwh"),
         F.sum("cooling_minutes").alias("trend_cooling_minutes"), F.max("peak_kw").alias("trend_peak_kw"))
     shares = frames["shares"].groupBy("site_id").agg(
-        F.max("day").alias("share_day"), F.count(F.lit(1)).alias("share_slices"), F.round(F.sum("kwh"), 2).alias("share_kwh"))
+        F.max("day").alias("share_day"), F.count(F.lit(1)).alias("share_slices"), F.round(F.sum("kwh"), 3).alias("share_kwh"))
     parts = (
         frames["primary_zone"].select("site_id", F.col("zone").alias("primary_zone")),
         frames["hvac_stats"].select("site_id", "cycle_count", "total_runtime_minutes", "longest_cycle_minutes", "hvac_energy_kwh"),
