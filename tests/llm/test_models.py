@@ -259,3 +259,29 @@ def test_language_model_counts_every_word_and_gram(spark, monkeypatch):
 def test_packed_sequences(n, top):
     values = np.sort(np.random.default_rng(n).integers(0, top, n))
     assert (elias_fano.unpacked(elias_fano.packed(values)) == values).all()
+
+
+def test_blocks_that_fill_many_row_groups(spark, larger, monkeypatch):
+    """The table of blocks is read in other pieces than it was written in."""
+    from gaugeworks.llm import shared
+
+    settings = {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k) for k in settings}
+    plain = {r.doc_id: r.score for r in ngram_lm.score(larger, F.col("doc_id") % 5 == 1).collect()}
+
+    def small_groups(df, *rest):
+        folder = shared.shared_folder(df.sparkSession)
+        df.write.option("parquet.block.size", 65536).parquet(folder)
+        return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+    monkeypatch.setattr(ngram_lm, "kept_table", small_groups)
+    monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", 200_000)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.score for r in ngram_lm.score(larger.coalesce(1), F.col("doc_id") % 5 == 1).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.keys() == plain.keys()
+    assert all(got[k] == pytest.approx(plain[k], rel=1e-9) for k in plain)
