@@ -82,24 +82,26 @@ def analyse(
         of_zones.select("site_id")).distinct()
     windows = cut_lineage(energy.choose_window(
         intervals, samples, zones, now, tz=tz, sites=sites, targets=targets, **window_options))
-    w_intervals = _within(intervals, windows, "start_ts")
-    w_samples = _within(samples, windows, "ts")
-    w_zones = _within(zones, windows, "ts")
+    w_intervals = cut_lineage(_within(intervals, windows, "start_ts"))
+    w_samples = cut_lineage(_within(samples, windows, "ts"))
+    w_zones = cut_lineage(_within(zones, windows, "ts"))
     main_zones = of_zones.select("site_id", "zone")
     options = {"max_gap_seconds": max_gap_seconds, "bucket_seconds": bucket_seconds,
                "tail_seconds": 2 * poll_seconds if tail_seconds is None else tail_seconds}
     main_zone = w_zones.join(main_zones, ["site_id", "zone"], "left_semi")
-    cycles = series.cooling_sessions(main_zone, gap_seconds=cycle_gap_seconds, bucket_seconds=bucket_seconds)
+    # What other frames are made of is kept as well, a few rows a site; no plan holds the whole analysis.
+    cycles = cut_lineage(series.cooling_sessions(
+        main_zone, gap_seconds=cycle_gap_seconds, bucket_seconds=bucket_seconds))
     stats = energy.cycle_stats(cycles, w_samples, compressor=compressor, **(cycle_options or {}))
     hvac = energy.channel_energy(
         w_samples.filter(F.col("channel").isin(*hvac_channels)).withColumn("channel", F.lit("hvac"))
         .join(windows.select("site_id", "window_start", "window_end"), "site_id"), ["site_id"], **options)
-    stats = stats.join(hvac.select("site_id", F.col("kwh").alias("hvac_energy_kwh")), "site_id", "left")
-    parts = energy.breakdown(w_intervals, w_samples, windows, hvac_channels=hvac_channels, **options)
-    peaks = energy.demand_peaks(
+    stats = cut_lineage(stats.join(hvac.select("site_id", F.col("kwh").alias("hvac_energy_kwh")), "site_id", "left"))
+    parts = cut_lineage(energy.breakdown(w_intervals, w_samples, windows, hvac_channels=hvac_channels, **options))
+    peaks = cut_lineage(energy.demand_peaks(
         w_samples, w_intervals, zones, hvac_channels=hvac_channels, cooldown_seconds=cooldown_seconds,
         tolerance_seconds=tolerance_seconds, interval_minutes=interval_minutes,
-        bucket_seconds=bucket_seconds, cell_seconds=interval_minutes * 60)
+        bucket_seconds=bucket_seconds, cell_seconds=interval_minutes * 60))
     agreement = parts.select(
         "site_id", F.lit(False).alias("available"), F.lit("no_whole_home_ct").alias("classification"),
         F.when(F.col("meter_kwh") > 0, F.col("meter_kwh")).alias("meter_kwh"),

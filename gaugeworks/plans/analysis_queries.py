@@ -34,6 +34,7 @@ from gaugeworks.plans.energy_queries import (
     TAIL,
 )
 from gaugeworks.plans.registry import ORACLES, plain, query
+from gaugeworks.session import cut_lineage
 
 _BREAKDOWN = f"""WITH s AS (SELECT * FROM s_in), i AS (SELECT * FROM i_in), {BREAKDOWN_OF_WIN.strip()}"""
 _PEAKS = f"""WITH s AS (SELECT * FROM s_in), z AS (SELECT * FROM z0), i AS (SELECT * FROM i_in), {PEAKS_OF_S_Z_I.strip()}"""
@@ -109,7 +110,7 @@ def r02(spark, sf):
 
 
 def figures(frames: dict[str, DataFrame]) -> DataFrame:
-    """A row per site out of the frames of an analysis."""
+    """A row per site out of the frames of an analysis, each reduced to its sites by itself."""
     def counted(column: str) -> Column:
         return F.coalesce(column, F.lit(0).cast("long")).alias(column)
 
@@ -132,7 +133,7 @@ def figures(frames: dict[str, DataFrame]) -> DataFrame:
         shares, frames["diagnostics"].select("site_id", F.col("available").alias("share_available"), "best_meter_day"),
         frames["findings"].select("site_id", F.array_join("findings", " ").alias("findings")),
     )
-    out = reduce(lambda a, b: a.join(b, "site_id", "left"), parts, frames["window"])
+    out = reduce(lambda a, b: a.join(b, "site_id", "left"), map(cut_lineage, parts), frames["window"])
     return out.select(
         *frames["window"].columns, "primary_zone", "cycle_count", "total_runtime_minutes", "longest_cycle_minutes",
         "hvac_energy_kwh", "meter_kwh", "monitored_kwh", "remainder_kwh", "hvac_pct", "circuit_kwh", counted("peaks"),
