@@ -7,6 +7,7 @@ ZONE_SAMPLE (see ``gaugeworks.schemas``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import Window
 
 from gaugeworks.functions import timekeys as tk
 from gaugeworks.operators import joins, series
-from gaugeworks.operators.ordered import DAY_SECONDS, gap_sessions, seconds_between, top_n
+from gaugeworks.operators.ordered import DAY_SECONDS, bucket_of, gap_sessions, seconds_between, top_n
 from gaugeworks.session import cut_lineage
 
 SITE = ("site_id",)
@@ -737,14 +738,23 @@ def demand_peaks(
         F.lit(None).cast("double").alias("hvac_kw"), "rank",
         F.col("peak_kw").alias("meter_kw"), F.lit("intervals").alias("peak_source"),
     )
-    peaks = sampled.unionByName(metered)
+    peaks = cut_lineage(sampled.unionByName(metered))
     near = joins.nearest(
-        peaks, actions_by_ts(zones, keys), keys, payload=F.col("actions"),
+        peaks, actions_by_ts(_around(zones, peaks, keys, tolerance_seconds), keys), keys, payload=F.col("actions"),
         tolerance_seconds=tolerance_seconds, bucket_seconds=bucket_seconds,
     )
     return _classify_peaks(near, keys, strict_reference, sample_label, zone_label)
 
 
+def _around(df: DataFrame, points: DataFrame, keys: Sequence[str], seconds: float) -> DataFrame:
+    """Rows in or next to the time cell of a point of their key; cells are ``seconds`` wide, so all
+    rows closer than that are among them. A few points leave little of a history to any window."""
+    width = max(1, math.ceil(seconds))
+    cell = bucket_of("ts", width)
+    near = points.select(*keys, F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell")).distinct()
+    return df.withColumn("_cell", cell).join(near, [*keys, "_cell"], "left_semi").drop("_cell")
+
+
 def _classify_peaks(
     near: DataFrame,
     keys: Sequence[str],

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from gaugeworks.operators.ordered import (
     DAY_SECONDS,
@@ -112,16 +111,12 @@ def nearest(
         both, "_ts", bucket_seconds=bucket_seconds,
         before=tolerance_seconds, after=tolerance_seconds,
     ).filter(F.col("_own") | F.col("_right").isNotNull())
-    part = Window.partitionBy(*keys, "_bucket")
-    back = part.orderBy(F.col("_ts").asc(), F.col("_side").asc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ahead = part.orderBy(F.col("_ts").desc(), F.col("_side").asc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    both = both.withColumn("_b4", F.last("_right", ignorenulls=True).over(back)).withColumn(
-        "_aft", F.last("_right", ignorenulls=True).over(ahead)
-    )
+    # One sort serves both sides: the frames of the next and of the last right row share it. A right
+    # row at the same instant comes first, so it is the one behind.
+    by = ", ".join(f"`{k}`" for k in [*keys, "_bucket"])
+    both = both.withColumns({name: F.expr(
+        f"{look}(_right) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY _ts, _side)")
+        for name, look in (("_b4", "lag"), ("_aft", "lead"))})
     to_back = seconds_between(F.col("_ts"), F.col("_b4.matched_ts"))
     to_ahead = seconds_between(F.col("_aft.matched_ts"), F.col("_ts"))
     back_ok = to_back < tolerance_seconds
@@ -164,6 +159,43 @@ def range_join(
     )
 
 
+def sweep_join(
+    points: DataFrame,
+    ranges: DataFrame,
+    keys: Sequence[str],
+    *,
+    lanes: Sequence[str] = (),
+    point_ts: str = "ts",
+    start: str = "start_ts",
+    end: str = "end_ts",
+    closed: bool = False,
+    bucket_seconds: int = DAY_SECONDS,
+) -> DataFrame:
+    """``range_join`` for ranges that do not overlap within a key and lane, as the sessions of a zone.
+
+    Starts and points form one series per lane, and the last start is carried to each point, which
+    is inside if that range has not ended. A range is one row however long it lasts; a point is one
+    row a lane of its key.
+    """
+    by = [*keys, *lanes]
+    if lanes:
+        points_in = points.join(ranges.select(*by).distinct(), list(keys))
+    else:
+        points_in = points
+    lhs = points_in.select(*by, F.col(point_ts).alias("_ts"), F.lit(1).alias("_side"),
+                           F.struct(*points.columns).alias("_point"), F.lit(None).alias("_range"))
+    usable = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)
+    rhs = ranges.filter(usable).select(
+        *by, F.col(start).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).alias("_point"),
+        F.struct(*ranges.columns).alias("_range"))
+    both = carry_last(lhs.unionByName(rhs), by, ["_ts", "_side"], F.col("_range"), "_open", bucket_seconds=bucket_seconds)
+    last = F.col(f"_open.{end}")
+    inside = (F.col("_ts") <= last) if closed else (F.col("_ts") < last)
+    extra = [c for c in ranges.columns if c not in points.columns]
+    return both.filter(F.col("_point").isNotNull() & inside).select(
+        *[F.col(f"_point.{c}").alias(c) for c in points.columns], *[F.col(f"_open.{c}").alias(c) for c in extra])
+
+
 def interval_value_at(
     points: DataFrame,
     intervals: DataFrame,

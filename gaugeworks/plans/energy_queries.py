@@ -270,9 +270,9 @@ GROUP BY x.site_id, x.zone, x.session_start""")
 def j07(spark, sf):
     cycles = series.cooling_sessions(zones(spark, sf), gap_seconds=12 * HOUR)
     clicks = samples(spark, sf).filter("channel = 'click' AND power_w > 0")
-    pairs = joins.range_join(
-        clicks, cycles.select("site_id", "zone", "session_start", "session_end"), ["site_id"],
-        start="session_start", end="session_end", closed=True, cell_seconds=6 * HOUR)
+    pairs = joins.sweep_join(
+        clicks.select("site_id", "ts", "power_w"), cycles.select("site_id", "zone", "session_start", "session_end"),
+        ["site_id"], lanes=["zone"], start="session_start", end="session_end", closed=True)
     return plain(pairs.groupBy("site_id", "zone", "session_start").agg(
         F.count(F.lit(1)).alias("reading_count"),
         F.round(F.avg("power_w") / 1000, 3).alias("mean_kw")))

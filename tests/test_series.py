@@ -229,6 +229,36 @@ def test_range_join_bounds(spark):
     assert sorted(r["s"] for r in closed.collect()) == [0, 50, 100]
 
 
+@pytest.mark.parametrize(("closed", "bucket"), [(True, 70), (False, 5000)])
+def test_sweep_join_equals_range_join(spark, closed, bucket):
+    """Ranges from a moment to many buckets; two lanes whose ranges overlap each other."""
+    rng = random.Random(bucket)
+    ranges = []
+    for lane in "ab":
+        at_s = 0
+        while at_s < 6000:
+            length = rng.choice([0, 1, 30, 900])
+            ranges.append((1, lane, at(at_s), at(at_s + length)))
+            at_s += length + rng.randint(1, 200)
+    ranges.append((2, "a", at(0), at(10)))
+    r = spark.createDataFrame(ranges, "k long, lane string, start_ts timestamp, end_ts timestamp")
+    p = spark.createDataFrame([(rng.randint(1, 3), at(rng.randint(0, 6500)), i) for i in range(300)] + [(1, at(7), 999)] * 3,
+                              "k long, ts timestamp, i int")
+    columns = ["k", "ts", "i", "lane", "start_ts"]
+    want = joins.range_join(p, r, ["k"], closed=closed, cell_seconds=300).select(*columns).collect()
+    got = joins.sweep_join(p, r, ["k"], lanes=["lane"], closed=closed, bucket_seconds=bucket).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+    # Rows do not multiply with the length of a range.
+    plan = joins.sweep_join(p, r, ["k"], lanes=["lane"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_nearest_sorts_once(spark):
+    left = spark.createDataFrame([(1, at(5))], "k long, ts timestamp")
+    plan = joins.nearest(left, left, ["k"], payload=F.col("ts"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" +-:*").startswith("Window") for line in plan.splitlines()) == 1
+
+
 def test_contains_pairs_against_brute_force(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
