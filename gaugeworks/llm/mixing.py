@@ -184,7 +184,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         F.count_if(F.col("size") > 0).alias("_filled"))
     weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("_rank") % len(WEIGHTS)).cast("int"))
     sources = ranked(per_source, "_name").withColumn("_weight", weight).withColumnRenamed("_rank", "_source")
-    sources = kept_table(with_targets(sources).withColumn("_scale", F.col("source_size") / F.col("_filled")))
+    sources = kept_table(with_targets(sources).withColumn("_scale", F.try_divide("source_size", "_filled")))
     numbered = kept_table(rows.groupBy("_key", "_name", "size").agg(F.count(F.lit(1)).alias("_n")).join(
         sources.select(F.col("_name").alias("_own"), "_source"), F.col("_name").eqNullSafe(F.col("_own"))).select(
         "_key", "_source", "size", "_n"))
