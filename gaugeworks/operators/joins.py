@@ -139,7 +139,11 @@ def range_join(
     cell_seconds: int = 3600,
     how: str = "inner",
 ) -> DataFrame:
-    """Pairs of point and range with ``start <= point < end`` (``<= end`` when closed)."""
+    """Pairs of point and range with ``start <= point < end`` (``<= end`` when closed).
+
+    A range is one row for each cell it touches; ``sweep_join`` is the choice for ranges much
+    longer than any useful cell.
+    """
     last_inside = F.col(end) if closed else F.timestamp_micros(micros(end) - 1)
     cells = F.sequence(bucket_of(start, cell_seconds), bucket_of(last_inside, cell_seconds))
     usable = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)

@@ -54,6 +54,9 @@ def _reached(first: DataFrame, jumps: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, _entry)``: all that can be reached from ``first`` over ``jumps`` from ``_from`` to
     ``_to``, which are doubled until none is left."""
     reached, jumps = cut_lineage(first), cut_lineage(jumps)
+    # Most starts follow no path's end; jumps from these are never taken.
+    met = jumps.select(*keys, F.col("_to").alias("_from")).union(reached.withColumnRenamed("_entry", "_from"))
+    jumps = cut_lineage(jumps.join(met.distinct(), [*keys, "_from"], "left_semi"))
     while not jumps.isEmpty():
         ahead = reached.withColumnRenamed("_entry", "_from").join(jumps, [*keys, "_from"])
         reached = cut_lineage(reached.union(ahead.select(*keys, F.col("_to").alias("_entry"))))
@@ -88,11 +91,10 @@ def throttle(
     def transfer(bucket: pd.Series, times: pd.Series) -> pd.DataFrame:
         starts, ends = [], []
         for b, t in zip(bucket, times):
-            following = np.searchsorted(t, t + step)
-            last = np.arange(len(t))
-            for i in range(len(t) - 1, -1, -1):
-                if following[i] < len(t):
-                    last[i] = last[following[i]]
+            last = np.searchsorted(t, t + step)
+            last = np.where(last < len(t), last, np.arange(len(t)))
+            while not np.array_equal(further := last[last], last):
+                last = further  # twice as many steps each time
             stop = int(np.searchsorted(t, b * width + step)) + 1
             starts.append(t[:stop])
             ends.append(t[last[:stop]])

@@ -87,7 +87,8 @@ def append_days(
     first = cut_lineage(earliest_by(incoming.withColumn("day", F.to_date(ts)), keys, order))
     known = _read(spark, path, touched_folders(spark, path, first, keys), first.schema)
     fresh = first.join(known.select(*keys), keys, "left_anti").select(*first.columns)
-    fresh.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
+    # Rows of a day meet, so that a day is a few files and not one from every task; large days are split.
+    fresh.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
     # Read back by key columns alone; an empty batch leaves no files.
     added = read_or_empty(spark, f"{path}/batch={batch}", first.schema)
     zones(added, keys).write.mode("overwrite").parquet(f"{path}/_zones/batch={batch}")
