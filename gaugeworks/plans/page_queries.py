@@ -19,6 +19,35 @@ def s09(spark, sf):
     return src.page_listings(table(spark, sf, "pages"), "nav").select("page_id", "title", "link")
 
 
+# A page of each layout for every part, a card twice in it.
+_LAYOUT_PAGES = {
+    "grid": """concat('<div class="item-cell"><a class="item-title" href="/p/N', p_partkey, '?a=1">', p_name, '</a><b class="price-current">$',
+      p_size, '.50</b><i class="shipping">Free</i></div>')""",
+    "tiles": """concat('<ul><li class="sku-item"><h4 class="sku-title"><a href="/site/N', p_partkey, '">', p_name,
+      '</a></h4><b class="priceView-customer-price">$', p_size, '.50</b></li></ul>')""",
+    "store": """concat('<ul><li class="product_wrapper"><a href="/product/N', p_partkey, '#x" data-name="', p_name, '" data-price="', p_size,
+      '.50">see</a></li></ul>')""",
+    "wrapper": """concat('<div class="xui_card_wrapper" data-price="', p_size, '.50"><a href="/N', p_partkey, '"><b class="headline">', p_name,
+      '</b></a></div>')""",
+}
+
+
+@query("s09_extractors", """
+WITH o AS (SELECT unnest(['newegg', 'bestbuy', 'microcenter', 'swappa']) AS source,
+  unnest(['https://www.newegg.com/p/N', 'https://www.bestbuy.com/site/N', 'https://www.microcenter.com/product/N', 'https://swappa.com/N']) AS link)
+SELECT p_partkey AS page_id, source, p_name AS title, p_size AS price, link || p_partkey AS link FROM part, o""")
+def s09_extractors(spark, sf):
+    from gaugeworks.sources.extractors import extracted
+
+    part = table(spark, sf, "part")
+    found = [extracted(part.select(F.col("p_partkey").alias("page_id"), F.concat(F.expr(html), F.expr(html)).alias("html")), name)
+             for name, html in _LAYOUT_PAGES.items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out.select("page_id", "source", "title", "price", "link")
+
+
 _DATA = """concat('<html><script id="__NEXT_DATA__" type="application/json">{"props": {"feed": [{"ad": 1}, {"__typename": "Item", "listingId": "',
   p_partkey, '", "title": " ', p_name, '  kit", "price": "$', p_size, ',000", "locationName": "', p_brand,
   '"}, {"wrap": {"__typename": "Item", "listingId": "', p_partkey, '", "title": "twice"}}, {"__typename": "Item", "listingId": "x',

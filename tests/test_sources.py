@@ -152,3 +152,21 @@ def test_known_item_lists_come_first(spark):
     frame = spark.createDataFrame(rows, "page_id long, html string")
     found = pages.embedded_listings(frame, source="s", item_url="u/").select("page_id", "link").collect()
     assert sorted(map(tuple, found)) == [(1, "u/1"), (2, "u/1"), (2, "u/9")]
+
+
+def test_extractors_by_sql_call(spark):
+    from gaugeworks.sources import extractors
+
+    extractors.register(spark)
+    pages = {
+        "feed": '<script id="__NEXT_DATA__">{"data": {"search": {"items": [{"id": 7, "name": "lamp", "price": "$3"}]}}}</script>',
+        "attributes": '<c data-vehicle-details="{&quot;listingId&quot;:&quot;9&quot;,&quot;make&quot;:&quot;ax&quot;}"></c><c data-vehicle-details="{oops"></c>',
+        " Nav ": '<li><a href="/x">one</a></li><li><a href="/y">two</a></li>', "nobody": "<li>x</li>",
+    }
+    want = {"feed": [(0, "lamp", "$3", None, "7")], "attributes": [(0, "ax", None, None, "9")],
+            " Nav ": [(0, "one", None, None, "/x"), (1, "two", None, None, "/y")], "nobody": []}
+    for name, html in pages.items():
+        spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").createOrReplaceTempView("extractor_pages")
+        for how in ("", " PARTITION BY (page_id)"):
+            rows = spark.sql(f"SELECT * FROM listing_cards(TABLE(SELECT page_id, html FROM extractor_pages){how}, '{name}')").collect()
+            assert sorted(tuple(r)[1:] for r in rows) == want[name], name
