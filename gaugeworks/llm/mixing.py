@@ -43,6 +43,9 @@ TOLERANCE = 1e-6
 MAX_STEPS = 80
 #: Rows of a source that are rounded together.
 SEGMENT_ROWS = 100_000
+#: Up to so many bytes (names and 64 a source) the table of sources is sent to all tasks; beyond, rows
+#: and sources are shuffled by source and adaptive execution splits the hot ones.
+SENT_BYTES = 8 << 20
 #: Repeated rows that one step of the final unpacking holds.
 CHUNK = 10_000
 WIDE = "decimal(38,0)"
@@ -185,8 +188,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("_rank") % len(WEIGHTS)).cast("int"))
     sources = ranked(per_source, "_name").withColumn("_weight", weight).withColumnRenamed("_rank", "_source")
     sources = kept_table(with_targets(sources).withColumn("_scale", F.try_divide("source_size", "_filled")))
+    held = sources.agg(F.sum(64 + F.coalesce(F.octet_length("_name"), F.lit(0)))).first()[0] or 0
+
+    def sent(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if held <= SENT_BYTES else table
+
     numbered = kept_table(rows.groupBy("_key", "_name", "size").agg(F.count(F.lit(1)).alias("_n")).join(
-        sources.select(F.col("_name").alias("_own"), "_source"), F.col("_name").eqNullSafe(F.col("_own"))).select(
+        sent(sources.select(F.col("_name").alias("_own"), "_source")), F.col("_name").eqNullSafe(F.col("_own"))).select(
         "_key", "_source", "size", "_n"))
     cells = kept_table(numbered.filter("size > 0").groupBy("_source", "size").agg(F.sum("_n").alias("_n")))
     tilt = solve(cells, sources).drop("_scale")
@@ -194,7 +202,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         "_source", "_name", "source_size", "target", "_scale", "_multiplier",
         F.ceil(F.col("_rows") / SEGMENT_ROWS).cast("int").alias("_segments"))
     spread = F.xxhash64("_key", "size")
-    rated = numbered.join(about.drop("_name", "source_size", "target"), "_source").select(
+    rated = numbered.join(sent(about.drop("_name", "source_size", "target")), "_source").select(
         "_key", "_source", "size", "_n", F.pmod(spread, F.col("_segments")).alias("_segment"), spread.alias("_hash"),
         F.when(F.col("size") > 0, _rate(F.col("_multiplier"), F.col("size"), F.col("_scale"))).otherwise(0).alias("_rate"))
 
@@ -211,7 +219,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     out = out.withColumn("_row", F.explode(F.expr(
         f"sequence(_chunk * {CHUNK}, least(_n, (_chunk + 1) * {CHUNK}) - 1)")))
     copies = F.expr("_all div _n + if(_row < _all % _n, 1, 0)")
-    return out.join(about.select("_source", "_name", "source_size", "target"), "_source").select(
+    return out.join(sent(about.select("_source", "_name", "source_size", "target")), "_source").select(
         F.col("_key").alias(key), F.col("_name").alias(source), "size", "source_size", "target",
         (F.col("_rate") / ONE).alias("rate"), copies.cast("long").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"))

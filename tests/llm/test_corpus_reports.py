@@ -68,7 +68,9 @@ def check_mix(rows, texts):
                     assert r.rate == pytest.approx(rates[r["size"]], abs=2e-4)
 
 
-def test_mix_against_bisection(spark, docs):
+@pytest.mark.parametrize("sent", [8 << 20, 0])
+def test_mix_against_bisection(spark, docs, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT_BYTES", sent)
     rows = mixing.mix(docs).collect()
     texts = [(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in docs.collect()]
     check_mix(rows, texts)
