@@ -254,6 +254,10 @@ def _filing_piece(needle: Column) -> Column:
     return F.when(F.length(needle) < 3, needle).otherwise(F.array_min(ranked)["g"])
 
 
+#: Needle rows that every task may hold.
+FEW_NEEDLES = 10_000
+
+
 def contains_pairs(
     hay: DataFrame,
     needles: DataFrame,
@@ -265,20 +269,30 @@ def contains_pairs(
     """Every (hay, needle) row pair whose hay text contains the needle text, each once.
 
     An exact substring join without a cross product: a needle is filed under one short piece
-    of itself and looked up under all pieces of a hay text. Only distinct texts take part, and
-    of these only a number and a piece are spread; a text comes back for the containment test
-    where a piece was met, and the other columns of both sides after it. ``keys`` must be equal
-    too. Column names of the sides must differ except for ``keys``.
+    of itself and looked up under all pieces of a hay text. ``keys`` must be equal too. Column
+    names of the sides must differ except for ``keys``.
+
+    The needles are counted first. Few go to all tasks, and hay rows meet them where they lie. Of
+    many, only distinct texts take part, and of these only a number and a piece are spread; a
+    text comes back for the containment test where a piece was met, and the other columns of both
+    sides after it. Those joins are merged, since the planner takes spread pieces for no larger
+    than the files they are made from, and would send them all to the driver.
     """
     keys = list(keys)
+    h = F.col(hay_text)
+    pieces = F.explode(F.array_distinct(F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))).alias("_gram")
+    some = needles.filter(F.length(needle_text) > 0)
+    if some.limit(FEW_NEEDLES + 1).count() <= FEW_NEEDLES:
+        filed = some.withColumn("_gram", _filing_piece(F.col(needle_text)))
+        spread = hay.filter(F.length(hay_text) > 0).select("*", pieces)
+        met = spread.join(F.broadcast(filed), [*keys, "_gram"]).filter(F.contains(h, F.col(needle_text)))
+        rest = [c for c in hay.columns if c not in (*keys, hay_text)]
+        more = [c for c in needles.columns if c not in (*keys, needle_text)]
+        return met.select(*keys, needle_text, hay_text, *rest, *more)
     texts = hay.filter(F.length(hay_text) > 0).select(*keys, hay_text).distinct().withColumn(
         "_text", F.xxhash64(hay_text))
-    filed = needles.filter(F.length(needle_text) > 0).select(*keys, needle_text).distinct().withColumn(
-        "_gram", _filing_piece(F.col(needle_text)))
-    h = F.col(hay_text)
-    spread = texts.select(*keys, "_text", F.explode(F.array_distinct(
-        F.concat(_grams(h, 1), _grams(h, 2), _grams(h, 3)))).alias("_gram"))
-    met = spread.join(filed, [*keys, "_gram"]).drop("_gram").distinct()
-    hits = met.join(texts, [*keys, "_text"]).filter(
-        F.contains(F.col(hay_text), F.col(needle_text))).select(*keys, hay_text, needle_text)
-    return hay.join(hits, [*keys, hay_text]).join(needles, [*keys, needle_text])
+    filed = some.select(*keys, needle_text).distinct().withColumn("_gram", _filing_piece(F.col(needle_text)))
+    met = texts.select(*keys, "_text", pieces).join(filed.hint("merge"), [*keys, "_gram"]).drop("_gram").distinct()
+    hits = met.hint("merge").join(texts, [*keys, "_text"]).filter(
+        F.contains(h, F.col(needle_text))).select(*keys, hay_text, needle_text)
+    return hay.join(hits.hint("merge"), [*keys, hay_text]).join(needles.hint("merge"), [*keys, needle_text])

@@ -284,6 +284,28 @@ def test_contains_pairs_same_result_without_broadcast(spark):
         spark.conf.set(setting, before)
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_contains_pairs_never_broadcasts_pieces(spark, monkeypatch, tmp_path, few):
+    def stored(df, name):  # files have a size that joins are planned by
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    monkeypatch.setattr(joins, "FEW_NEEDLES", few, raising=False)
+    h = spark.createDataFrame([(1, "red ring"), (2, "pineapple"), (2, "pineapple")], "hid int, text string")
+    n = spark.createDataFrame([(1, "apple"), (2, "ri"), (3, "g"), *((9, f"none{i}") for i in range(2000))], "nid int, needle string")
+    h, n = stored(h, "hay"), stored(n, "needles")
+    out = joins.contains_pairs(h, n, hay_text="text", needle_text="needle")
+    assert sorted((r["hid"], r["nid"]) for r in out.collect()) == [(1, 2), (1, 3), (2, 1), (2, 1)]
+    lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" +-:*")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" in line:
+            children = [j for j in range(i + 1, len(lines)) if depth[j] == depth[i] + 3]
+            built = children[0] if "BuildLeft" in line else children[1]
+            end = next((j for j in range(built + 1, len(lines)) if depth[j] <= depth[built]), len(lines))
+            assert not any("Generate" in x for x in lines[built:end])
+
+
 # ---- energy --------------------------------------------------------------------------
 
 def test_peaks_fall_back_to_intervals(spark):
