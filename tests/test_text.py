@@ -231,3 +231,39 @@ def test_a_batch_seen_twice_is_existing(spark):
         assert r.new_count == a.new_count and r.filtered_count == 2 * a.filtered_count
         assert r.existing_count == 2 * a.existing_count + a.new_count
     assert sum(r.new_count for r in once) > 0
+
+
+def _run(spark, *rows):
+    fields = {f.name: f.dataType for f in schemas.struct_of(schemas.RULES).fields}
+    df = spark.createDataFrame(rows, "search_id string, source_sites array<string>, words array<string>, high int")
+    given = {"include_keywords": F.col("words"), "max_price": F.col("high")}
+    return df.withColumn("rules", F.struct(*[
+        given.get(k, F.lit(None)).cast(t).alias(k) for k, t in fields.items()])).drop("words", "high")
+
+
+_LISTED = "link string, title string, price int, source string"
+
+
+def test_equal_rules_are_judged_once_a_title(spark, monkeypatch):
+    judged, real = [], listings.with_reason
+    monkeypatch.setattr(listings, "with_reason", lambda pairs: real(judged.append(pairs) or pairs))
+    searches = _run(spark, *[(str(i), ["a"], ["red", "ring"], 9) for i in range(8)], *[(f"o{i}", ["a"], None, 9) for i in range(8)])
+    rows = spark.createDataFrame([(f"l{i}", "red ring", 5, "a") for i in range(7)], _LISTED)
+    pairs = listings.matches(rows, searches)
+    assert pairs.count() == 7 * 16 and pairs.select("link", "search_id").distinct().count() == 7 * 16
+    assert judged[0].count() == 2
+    out = listings.run_counters(rows, searches, rows.select("link").limit(0), order=("search_id", "source")).collect()
+    assert {r.search_id: r.new_count for r in out if r.new_count} == {"0": 7} and len(out) == 16
+    assert {r.new_count + r.existing_count for r in out} == {7}
+    assert len(judged) == 2 and judged[1].count() == 2
+
+
+def test_versions_of_one_search_and_nulls(spark):
+    searches = _run(spark, ("1", ["a", "A"], ["red"], 9), ("1", ["a"], ["ring"], 9), ("1", ["a"], ["red"], 9),
+                    (None, ["a"], None, None), ("2", None, ["red"], None))
+    rows = spark.createDataFrame(
+        [("x", "Red ring", 5, "a"), ("x", "Red ring", 5, "a"), ("y", "ring", None, "a"), ("z", None, None, "a"), ("w", "red", 1, None)], _LISTED)
+    got = sorted((r.search_id or "", r.link) for r in listings.matches(rows, searches).collect())
+    assert got == [("", "x"), ("", "y"), ("", "z"), ("1", "x")]
+    out = listings.run_counters(rows, searches, rows.select("link").limit(0), order=("search_id", "source")).collect()
+    assert {r.existing_count + r.new_count for r in out if r.search_id == "1"} == {2}
