@@ -292,16 +292,37 @@ def check_criteria(watches: DataFrame) -> DataFrame:
 
 # ---- watches -------------------------------------------------------------------------
 
-def watch_candidates(watches: DataFrame, shows: DataFrame, today: Column) -> DataFrame:
-    """(watch, show row) pairs that meet place, date and artist, without a cross join.
-
-    Watches with an artist meet shows by a substring join on the title; genre watches by an
+#: What of a watch decides which shows it meets.
+CRITERIA = ("artist", "genre", "area", "city", "state", "radius_miles", "days_forward")
+#: Watches of equal criteria that share a row before their alerts are written out, on average.
+CHUNK = 1000
+
+
+def _kinds(watches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active watches by equal criteria: (``_kind``, criteria), one row for each set of criteria of
+    a watch, and (``watch_id``, ``_kind``, ``_chunk``), one row a watch."""
+    own = watches.filter("active").groupBy("watch_id").agg(
+        F.array_sort(F.collect_set(F.struct(*CRITERIA))).alias("_criteria"))
+    # Named by its first watch, so that a kind is a short text in the joins.
+    name = F.concat(F.lit("="), F.col("watch_id").cast("string"))
+    kinds = own.groupBy("_criteria").agg(
+        F.coalesce(F.min(name), F.lit("")).alias("_kind"),
+        F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_chunks"))
+    of_watch = own.join(kinds, "_criteria").select("watch_id", "_kind", F.pmod(
+        F.xxhash64("watch_id"), F.col("_chunks")).cast("int").alias("_chunk"))
+    return kinds.select("_kind", F.explode("_criteria").alias("_c")).select("_kind", "_c.*"), of_watch
+
+
+def _kind_candidates(kinds: DataFrame, shows: DataFrame, today: Column) -> DataFrame:
+    """(kind, show row) pairs that meet place, date and artist, without a cross join.
+
+    Kinds with an artist meet shows by a substring join on the title; genre kinds by an
     equi-join on the place, which every genre watch must have (see :func:`check_criteria`),
     apart from forced nationwide ones, which by definition take every show and join on a
     constant per date range of shows still to come.
     """
-    placed = expand_areas(watches.filter("active")).filter(F.col("geo_error").isNull()).select(
-        "watch_id", F.lower(F.trim(F.coalesce("artist", F.lit("")))).alias("_artist"), "artist",
+    placed = expand_areas(kinds).filter(F.col("geo_error").isNull()).select(
+        "_kind", F.lower(F.trim(F.coalesce("artist", F.lit("")))).alias("_artist"), "artist",
         "genre", "days_forward", F.lower("geo_city").alias("_city"), F.upper("geo_state").alias("_state"))
     day = F.to_date(F.substring("starts_at", 1, 10))
     dated = shows.withColumns({
@@ -320,11 +341,22 @@ def watch_candidates(watches: DataFrame, shows: DataFrame, today: Column) -> Dat
     days = genres.filter(F.col("_city").isNull()).withColumn(
         "_on", F.explode(F.sequence(today, F.date_add(today, F.col("days_forward")))))
     wide = dated.join(days, F.col("_day") == F.col("_on"))
-    columns = ["watch_id", "artist", "genre", *shows.columns]
+    columns = ["_kind", "artist", "genre", *shows.columns]
     out = by_artist.select(*columns)
     for part in (local, wide):
         out = out.unionByName(part.select(*columns))
-    return out.dropDuplicates(["watch_id", "dedupe_key"])
+    return out.dropDuplicates(["_kind", "dedupe_key"])
+
+
+def watch_candidates(watches: DataFrame, shows: DataFrame, today: Column) -> DataFrame:
+    """(watch, show row) pairs that meet place, date and artist, without a cross join.
+
+    Watches of equal criteria meet the shows once, see :func:`_kind_candidates`; the pairs of
+    each watch are made in the last join and not shuffled.
+    """
+    kinds, of_watch = _kinds(watches)
+    found = _kind_candidates(kinds, shows, today).join(of_watch.select("watch_id", "_kind"), "_kind")
+    return found.select("watch_id", "artist", "genre", *shows.columns)
 
 
 def watch_alerts(
@@ -335,12 +367,26 @@ def watch_alerts(
 
     A show counts as told only when the ledger has it; write the ledger for delivered
     alerts (``sinks.tables.ledger_rows``), so a failed delivery comes up again.
+
+    Shows are merged once for watches of equal criteria. The ledger then meets chunks of their
+    watches, and only what is left is written out a row per watch, without a shuffle.
     """
-    found = watch_candidates(watches, shows, today)
+    kinds, of_watch = _kinds(watches)
+    found = _kind_candidates(kinds, shows, today)
     genre, artist = F.col("genre"), F.col("artist")
     kept = found.filter(passes_genre(genre, artist, secondary) & ~is_noise(genre, artist, secondary))
-    merged = merge(kept, primary, extra_keys=["watch_id"])
-    return merged.join(ledger.select("watch_id", KEY).distinct(), ["watch_id", KEY], "left_anti")
+    merged = merge(kept, primary, extra_keys=["_kind"])
+    chunk = ["_kind", "_chunk"]
+    told = of_watch.join(ledger.select("watch_id", KEY), "watch_id").groupBy(*chunk, KEY).agg(
+        F.collect_set("watch_id").alias("_told"))
+    lists = of_watch.groupBy(*chunk).agg(F.collect_list("watch_id").alias("_ids"), F.count_if(F.col("watch_id").isNull()).alias("_none"))
+    due = merged.join(lists.select(*chunk), "_kind").join(told, [*chunk, KEY], "left").join(lists, chunk)
+    # Lists hold no null; the watch without an id is told of by no ledger.
+    left = F.concat(
+        F.array_except("_ids", F.coalesce("_told", F.slice("_ids", 1, 0))),
+        F.when(F.col("_none") > 0, F.array(F.lit(None))).otherwise(F.slice("_ids", 1, 0)))
+    columns = [c for c in merged.columns if c != "_kind"]
+    return due.select(F.explode(left).alias("watch_id"), *columns)
 
 
 def watch_summary(watches: DataFrame, found: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -107,3 +107,49 @@ def test_cycles_compose(spark):
     told = sinks.ledger_rows(ledger, alerts)
     again = cycles.watch_cycle(match_queries._watches(spark, sf), shows, stored, told, F.lit("2024-02-01").cast("date"))
     assert again["alerts"].count() == 0
+
+
+def _alert_tables(spark):
+    from gaugeworks.operators import shows
+
+    rows = [("ticketmaster", f"t{i}", "Red Ring", "Hall", "Houston", "TX", "2024-02-1" + str(i % 2), f"u{i}", "Rock") for i in range(4)]
+    rows += [("ticketmaster", "t9", "Bolt", "Hall", "Tyler", "TX", "2024-02-12", "u9", "Pop")]
+    frame = shows.normalise(spark.createDataFrame(rows, "source string, provider_event_id string, artist_or_title string, venue string, "
+                                                  "city string, state string, starts_at string, ticket_url string, genre_or_classification string"))
+    watches = [(i, "red", None, "nationwide", None, True) for i in range(30)]
+    watches += [(40, "red", None, "houston", None, True), (40, "red", None, "nationwide", None, True), (40, "bolt", None, "nationwide", None, True),
+                (None, "red", None, "nationwide", None, True), (50, None, "rock", None, "Houston", True), (60, "red", None, "houston", None, False)]
+    kinds = "watch_id long, artist string, genre string, area string, city string, active boolean"
+    return frame, spark.createDataFrame(watches, kinds).selectExpr(
+        "*", "CAST(NULL AS STRING) AS state", "CAST(NULL AS INT) AS radius_miles", "60 AS days_forward")
+
+
+def test_watches_of_equal_criteria_meet_shows_once(spark, monkeypatch):
+    from gaugeworks.operators import shows
+
+    frame, watches = _alert_tables(spark)
+    merged, real = [], shows.merge
+    monkeypatch.setattr(shows, "CHUNK", 7, raising=False)
+    monkeypatch.setattr(shows, "merge", lambda df, *a, **k: real(merged.append(df) or df, *a, **k))
+    today = F.lit("2024-02-01").cast("date")
+    none = spark.createDataFrame([], "watch_id long, event_dedupe_key string")
+    out = shows.watch_alerts(watches, frame, none, today).cache()
+    got = sorted((-1 if r.watch_id is None else r.watch_id, r.starts_at, r.artist_or_title, r.member_count) for r in out.collect())
+    ids = [-1, *range(30), 40, 50]
+    want = [(i, day, "Red Ring", 2) for i in ids for day in ("2024-02-10", "2024-02-11")] + [(40, "2024-02-12", "Bolt", 1)]
+    assert got == sorted(want)
+    assert merged[0].count() == 4 + 5 + 4  # of three sets of criteria, not of 33 watches
+    told = out.filter("watch_id % 2 = 0 OR watch_id IS NULL").select("watch_id", "event_dedupe_key")
+    left = [-1 if r.watch_id is None else r.watch_id for r in shows.watch_alerts(watches, frame, told, today).collect()]
+    assert sorted(left) == sorted(2 * [-1, *range(1, 30, 2)])
+    pairs = shows.watch_candidates(watches, frame, today)
+    assert pairs.count() == 4 * 31 + 5 + 4
+
+
+def test_ledger_is_reduced_in_one_shuffle(spark):
+    ledger = spark.createDataFrame([(1, "a"), (1, "a"), (None, "c")], "watch_id long, event_dedupe_key string")
+    alerts = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, ""), (2, None), (None, "c"), (None, "c")],
+                                   "watch_id long, event_dedupe_key string")
+    out = sinks.ledger_rows(ledger, alerts)
+    assert sorted((r[0] or 0, r[1]) for r in out.collect()) == [(0, "c"), (1, "b"), (2, "a")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
