@@ -200,7 +200,16 @@ def rewrite_rolling(
 def ledger_rows(ledger: DataFrame, alerts: DataFrame, keys=("watch_id", "event_dedupe_key")):
     """Ledger rows to add; an empty event key is never recorded."""
     named = alerts.filter(F.coalesce(F.col(keys[1]), F.lit("")) != "")
-    return rows_to_insert(ledger, named.select(*ledger.columns), keys, list(keys))
+    if set(ledger.columns) != set(keys):
+        return rows_to_insert(ledger, named.select(*ledger.columns), keys, list(keys))
+    # Rows are their keys alone: both sides are reduced in one shuffle, and no join is needed. A
+    # null is no key that the ledger could hold.
+    held = F.lit(True)
+    for key in keys:
+        held = held & F.col(key).isNotNull()
+    both = named.select(*keys, F.lit(True).alias("_new")).unionByName(
+        ledger.filter(held).select(*keys, F.lit(False).alias("_new")))
+    return both.groupBy(*keys).agg(F.min("_new").alias("_new")).filter("_new").select(*ledger.columns)
 
 
 def cascade_delete(
