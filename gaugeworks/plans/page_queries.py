@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeworks.plans.registry import query, table
+from gaugeworks.session import spread
 from gaugeworks.sources import pages as src
 
 _CARDS_SQL = """c AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href,
@@ -39,7 +40,7 @@ SELECT p_partkey AS page_id, source, p_name AS title, p_size AS price, link || p
 def s09_extractors(spark, sf):
     from gaugeworks.sources.extractors import extracted
 
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
     found = [extracted(part.select(F.col("p_partkey").alias("page_id"), F.concat(F.expr(html), F.expr(html)).alias("html")), name)
              for name, html in _LAYOUT_PAGES.items()]
     out = found[0]

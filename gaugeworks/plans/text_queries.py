@@ -9,6 +9,7 @@ from gaugeworks.functions import timekeys as tk
 from gaugeworks.operators import resolve, rules
 from gaugeworks.plans.bindings import NOW, SQL_NOW
 from gaugeworks.plans.registry import plain, query, table
+from gaugeworks.session import spread
 
 # Listing titles written from the part table; every kind of title takes a share of the rows.
 _TITLE = """p_name || ' ' || lower(p_type) || ' ' || CASE p_size % 6
@@ -383,7 +384,8 @@ SELECT p_partkey,
   CASE p_size % 4 WHEN 0 THEN 'tacoma' WHEN 1 THEN 'civic' END AS vehicle_model
 FROM part""")
 def b23(spark, sf):
-    out = requests.with_request_fields(table(spark, sf, "part").withColumn("r", F.expr(_REQUEST)), "r")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_size"))
+    out = requests.with_request_fields(part.withColumn("r", F.expr(_REQUEST)), "r")
     return out.select("p_partkey", "topic", "max_price", "max_miles", "min_year", "max_year",
                       "vehicle_make", "vehicle_model")
 

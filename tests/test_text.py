@@ -267,3 +267,15 @@ def test_versions_of_one_search_and_nulls(spark):
     assert got == [("", "x"), ("", "y"), ("", "z"), ("1", "x")]
     out = listings.run_counters(rows, searches, rows.select("link").limit(0), order=("search_id", "source")).collect()
     assert {r.existing_count + r.new_count for r in out if r.search_id == "1"} == {2}
+
+
+def test_costly_rows_are_spread_over_tasks(spark, tmp_path):
+    from gaugeworks.plans import catalog
+
+    spark.range(60).selectExpr(
+        "id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "'red ring' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    for name, rows in (("b23_constraints", 60), ("s09_extractors", 240)):
+        out = catalog.queries()[name](spark, str(tmp_path))
+        tasks = out.rdd.glom().map(len).collect()
+        assert sum(tasks) == rows and sum(n > 0 for n in tasks) >= cores
