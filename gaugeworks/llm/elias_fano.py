@@ -6,6 +6,11 @@ children's numbers, made monotone by adding what came before. From the third lev
 numbered among the successors of the last word of its context, which are few, so its number is
 found by searching that shorter list first. Probabilities and back-off weights are bytes into a
 table of at most 256 values per level.
+
+A trie of counts (``build_counts``) is one part of a larger one: its first level is a monotone
+sequence of word numbers, its children are codes of words, since the contexts that would number
+them lie in other parts, and its values are places in a table of all distinct counts, so none is
+rounded.
 """
 
 from __future__ import annotations
@@ -84,14 +89,23 @@ class Monotone:
 
     def successor(self, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
         """In each range, the place of the first number not below ``value``, or its end."""
-        lo, hi = begin.copy(), end.copy()
-        while (open_ := lo < hi).any():
-            at = np.nonzero(open_)[0]
-            middle = (lo[at] + hi[at]) >> 1
-            below = self[middle] < value[at]
-            lo[at] = np.where(below, middle + 1, lo[at])
-            hi[at] = np.where(below, hi[at], middle)
-        return lo
+        return _successor(self, begin, end, value)
+
+    def read(self, times: int) -> Monotone | np.ndarray:
+        """What to read at ``times`` places: this, or where these are many, the whole sequence."""
+        return self.all() if 4 * times > self.n else self
+
+
+def _successor(values, begin: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    lo, hi = begin.copy(), end.copy()
+    at = np.nonzero(lo < hi)[0]
+    while len(at):
+        middle = (lo[at] + hi[at]) >> 1
+        below = values[middle] < value[at]
+        lo[at] = np.where(below, middle + 1, lo[at])
+        hi[at] = np.where(below, hi[at], middle)
+        at = at[lo[at] < hi[at]]
+    return lo
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -119,6 +133,39 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.uint8), sums / np.maximum(counts, 1)
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the table of the distinct values, in as few bytes as these need, and that table."""
+    table, at = np.unique(values, return_inverse=True)
+    return at.astype(np.min_scalar_type(max(len(table) - 1, 0))), table
+
+
+def _children(k: int, owner: np.ndarray, child: np.ndarray, parents: int) -> dict[str, np.ndarray]:
+    """Arrays of level ``k``: where the children of each parent begin, and these in monotone form."""
+    begins = np.searchsorted(owner, np.arange(parents + 1))
+    most = int(child.max(initial=0)) + 1
+    return ({f"{k}.begin.{n}": v for n, v in Monotone.encode(begins).items()}
+            | {f"{k}.child.{n}": v for n, v in Monotone.encode(owner * most + child).items()}
+            | {f"{k}.most": np.array([most])})
+
+
+def _saved(arrays: dict[str, np.ndarray]) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    return held.getvalue()
+
+
+def build_counts(roots: np.ndarray, levels: list[dict[str, np.ndarray]]) -> bytes:
+    """The bytes of a trie of counts. ``roots`` are the numbers of the first level, in order; every
+    level has ``n``, later ones also ``owner``, the place of each node's parent in the level before,
+    and ``child``, its word's code, both in order."""
+    out = {f"1.root.{n}": v for n, v in Monotone.encode(roots).items()}
+    for k, level in enumerate(levels, 1):
+        out[f"{k}.n"], out[f"{k}.ns"] = ranked(level["n"])
+        if k > 1:
+            out |= _children(k, level["owner"], level["child"], len(levels[k - 2]["n"]))
+    return _saved(out)
+
+
 def build(levels: list[dict[str, np.ndarray]]) -> bytes:
     """The trie's bytes. Level 1 has one node per word number; level k > 1 has ``gram``, rows of k
     word numbers in sorted order whose parents and shorter suffixes are in the level before; all
@@ -140,20 +187,14 @@ def build(levels: list[dict[str, np.ndarray]]) -> bytes:
         else:  # the place of the last word among the successors of the context's last words
             child = np.array([rows_before[g[1:]] - begins_before[parents_of[g[1:-1]]] for g in grams], np.int64)
         count = len(rows_before)
-        begins = np.searchsorted(owner, np.arange(count + 1))
-        most = int(child.max(initial=0)) + 1
-        out |= {f"{k}.begin.{n}": v for n, v in Monotone.encode(begins).items()}
-        out |= {f"{k}.child.{n}": v for n, v in Monotone.encode(owner * most + child).items()}
-        out[f"{k}.most"] = np.array([most])
-        parents_of, begins_before = rows_before, begins
+        out |= _children(k, owner, child, count)
+        parents_of, begins_before = rows_before, np.searchsorted(owner, np.arange(count + 1))
         rows_before = {g: i for i, g in enumerate(grams)}
-    held = io.BytesIO()
-    np.savez(held, **out)
-    return held.getvalue()
+    return _saved(out)
 
 
 class Trie:
-    """Scores n-grams from the bytes of ``build``, which it maps from a file of its own."""
+    """Finds and scores n-grams in the bytes of ``build`` or ``build_counts``, mapped from a file of its own."""
 
     def __init__(self, data: bytes):
         self._arrays: dict[str, np.ndarray] = {}
@@ -179,16 +220,28 @@ class Trie:
     def value(self, k: int, name: str, nodes: np.ndarray) -> np.ndarray:
         return self._arrays[f"{k}.{name}s"][self._arrays[f"{k}.{name}"][nodes]]
 
-    def _below(self, k: int, node: np.ndarray, child: np.ndarray) -> np.ndarray:
+    def first(self, numbers: np.ndarray) -> np.ndarray:
+        """Place of each number in the first level of a trie of counts, -1 where it is not kept."""
+        roots = Monotone(self._part("1.root."))
+        kept, n = roots.read(len(numbers)), roots.n
+        at = _successor(kept, np.zeros(len(numbers), np.int64), np.full(len(numbers), n), numbers)
+        found = np.full(len(numbers), -1, np.int64)
+        there = np.nonzero(at < n)[0]
+        there = there[kept[at[there]] == numbers[there]]
+        found[there] = at[there]
+        return found
+
+    def below(self, k: int, node: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Place in level ``k`` of a node's child, -1 where there is none."""
         found = np.full(len(node), -1, np.int64)
         most = int(self._arrays[f"{k}.most"][0])
         ask = np.nonzero((node >= 0) & (child >= 0) & (child < most))[0]
-        begin, end = self._begin[k][node[ask]], self._begin[k][node[ask] + 1]
+        begins, children = self._begin[k].read(len(ask)), self._child[k].read(len(ask))
+        begin, end = begins[node[ask]], begins[node[ask] + 1]
         sought = node[ask] * most + child[ask]
-        at = self._child[k].successor(begin, end, sought)
+        at = _successor(children, begin, end, sought)
         there = np.nonzero(at < end)[0]
-        there = there[self._child[k][at[there]] == sought[there]]
+        there = there[children[at[there]] == sought[there]]
         found[ask[there]] = at[there]
         return found
 
@@ -205,7 +258,7 @@ class Trie:
             known = np.nonzero((suffix >= 0) & (home >= 0))[0]
             child = np.full(len(grams), -1, np.int64)
             child[known] = suffix[known] - self._begin[k - 1][home[known]]
-        return self._below(k, context, child)
+        return self.below(k, context, child)
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each row's last word after the words before it."""

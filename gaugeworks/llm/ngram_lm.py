@@ -1,12 +1,15 @@
-"""Language model scores of documents: counts of all words and n-grams of the training texts.
-
-Tokens are words and one end per text. Every word has a number of its own, a hash of 62 bits, and
-so has every pair and triple of following tokens; none is left out, however rare. A level (words,
-pairs, triples) is cut into parts by range of number, as many as the corpus needs. Documents lie in
-blocks of rows; each block sends every part the distinct numbers that fall into it, as an
-Elias-Fano sequence with the block's training counts. The part adds the counts up and sends them
-back in the same order, with which the block is scored. So no task holds more than one part, and a
-word that a third of all texts share is one number per block.
+"""Language model scores of documents: a trie of all words, pairs and triples of the training texts.
+
+Tokens are words and one end per text. Every word has a number of its own, a hash of 62 bits; a
+trie has words, below them the words that follow, and below those the third ones, each known there
+by the first 40 bits of its number. None is left out, however rare. The trie is cut into parts by
+range of the first word's number, as many as the corpus needs; words and pairs with very many nodes
+below them are cut again by the word that follows. Documents lie in blocks of rows; each block sends
+every part its branches of that trie, once each, with the block's training counts. The part adds the
+counts up, builds an Elias-Fano trie of what was learned (``elias_fano.build_counts``), maps it and
+finds the branches in it, level by level, for the counts that go back in the same order. With these
+the block is scored. So no task holds more than one part, and a word that a third of all texts share
+is one node per block and part.
 
 A token's probability is its training count after the two tokens before it, with ``PRIOR`` more
 observations shared out as the probability after one token says, and that likewise by the word's
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.elias_fano import build, packed, unpacked
+from gaugeworks.llm.elias_fano import Trie, build, build_counts, packed, unpacked
 from gaugeworks.llm.shared import WORD, kept_table, lower_ascii
 
 ORDER = 3
@@ -43,6 +46,12 @@ PART_CHARS = 12_000_000
 #: Rows and characters of a block; a longer text is a block of its own.
 BLOCK_ROWS = 2048
 BLOCK_CHARS = 8_000_000
+#: Bits of a word's number that tell it apart below its context.
+CODE_BITS = 40
+#: So many nodes of all blocks lie below one word or pair in a part; one block in so many is counted for that.
+SLICE_NODES = 250_000
+SLICE_BLOCKS = 16
+_LEAST_NODES = 64
 _BITS = 13
 #: Numbers in a trie of one piece (``model``) before its words: start and end of a text.
 START, END = 0, 1
@@ -143,36 +152,45 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """The distinct words, pairs and triples of some texts: ``keys`` by level, in sorted order;
-    ``order`` and ``at`` by level, what is sorted there and which of it each token is."""
+    """The distinct words, pairs and triples of some texts, by number and number of the words.
+
+    ``numbers`` of the words, with ``start`` and ``end``; ``first`` and ``last`` word of the pairs,
+    with ``starts``, the two starts of a text; ``before`` (a pair) and ``third`` word of the triples;
+    ``at`` by level, which of it each token is."""
 
     def __init__(self, bodies: list[str]):
         at, distinct, self.sizes = _tokens(bodies)
-        words = np.array([_number(" start"), *(_number(w) for w in distinct)], np.uint64)
-        self.end = distinct.index(_END_WORD) + 1
-        grams = _grams(at + 1, self.sizes)
-        wide = len(words)
-        pairs, pair_at = np.unique(grams[:, 1] * wide + grams[:, 2], return_inverse=True)
+        numbers = np.array([_number(" start"), *(_number(w) for w in distinct)], np.uint64) >> np.uint64(2)
+        order = np.argsort(numbers, kind="stable")
+        place = np.argsort(order, kind="stable")
+        self.numbers = numbers[order].astype(np.int64)
+        self.start, self.end = int(place[0]), int(place[distinct.index(_END_WORD) + 1])
+        ids, wide, begins = place[at + 1], len(numbers), np.cumsum(self.sizes) - self.sizes
+        before = np.concatenate([[self.start], ids[:-1]])
+        before[begins] = self.start
+        starts = self.start * wide + self.start
+        pairs, pair_at = np.unique(np.append(before * wide + ids, starts), return_inverse=True)
+        pair_at, self.starts = pair_at[:-1], int(pair_at[-1])
+        self.first, self.last = pairs // wide, pairs % wide
         # The pair before a token is that of the token before it; a text begins after two starts.
-        before = np.concatenate([[len(pairs)], pair_at[:-1]])
-        before[np.cumsum(self.sizes) - self.sizes] = len(pairs)
-        triples, triple_at = np.unique(before * wide + grams[:, 2], return_inverse=True)
-        self.word_of_pair, self.last_of_pair = pairs // wide, pairs % wide
-        self.before_triple, self.last_of_triple = triples // wide, triples % wide
-        pair_keys = _mixed(words[self.word_of_pair], words[self.last_of_pair])
-        starts = _mixed(words[:1], words[:1])
-        triple_keys = _mixed(np.concatenate([pair_keys, starts])[self.before_triple] ^ np.uint64(1),
-                             words[self.last_of_triple])
+        before = np.concatenate([[self.starts], pair_at[:-1]])
+        before[begins] = self.starts
+        triples, triple_at = np.unique(before * wide + ids, return_inverse=True)
+        self.before, self.third = triples // wide, triples % wide
         # Pair of a triple's last two words, through any token that is both.
         self.pair_of_triple = np.empty(len(triples), np.int64)
         self.pair_of_triple[triple_at] = pair_at
-        self.at = (at, pair_at, triple_at)
-        self.order, self.keys = [], []
-        for key in (words[1:], pair_keys, triple_keys):
-            key = (key >> np.uint64(2)).astype(np.int64)
-            order = np.argsort(key)
-            self.order.append(order)
-            self.keys.append(key[order])
+        self.at = (ids, pair_at, triple_at)
+
+    def pair_numbers(self) -> np.ndarray:
+        words = self.numbers.astype(np.uint64)
+        return (_mixed(words[self.first], words[self.last]) >> np.uint64(2)).astype(np.int64)
+
+    def learned(self, held_out) -> list[np.ndarray]:
+        """Training counts by level."""
+        weight = np.repeat(~np.array(held_out, dtype=bool), self.sizes)
+        return [np.bincount(at, weight, n).astype(np.int64)
+                for at, n in zip(self.at, (len(self.numbers), len(self.first), len(self.before)), strict=True)]
 
 
 def _ranges(parts: int) -> np.ndarray:
@@ -186,50 +204,183 @@ def _small(counts: np.ndarray) -> bytes:
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _codes(numbers: np.ndarray) -> bytes:
+    """Word codes in five bytes each."""
+    codes = (numbers >> (62 - CODE_BITS)).astype("<i8")
+    return codes.view(np.uint8).reshape(-1, 8)[:, :CODE_BITS // 8].tobytes()
+
+
+def _of_codes(data: bytes) -> np.ndarray:
+    few = np.frombuffer(data, np.uint8).reshape(-1, CODE_BITS // 8)
+    whole = np.zeros((len(few), 8), np.uint8)
+    whole[:, :CODE_BITS // 8] = few
+    return whole.view("<i8").ravel().astype(np.int64)
+
+
+class _Paths:
+    """The branches of a block in the parts of the trie: by level and in order of the parts, ``nodes``
+    (the block's words, pairs and triples), ``home`` (whether its count lies there, or the node is
+    only passed through), ``cuts`` (where each part begins); ``owner`` of pairs and triples."""
+
+    def __init__(self, texts: _Block, parts: int, crowded: dict[int, int]):
+        begins = _ranges(parts)
+        hot = np.array(sorted(crowded), np.int64)
+        slices = np.array([crowded[x] for x in hot.tolist()], np.int64)
+
+        def split(route: np.ndarray, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+            """The route below a context, by the word that follows where the context is crowded."""
+            if not len(hot):
+                return route
+            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            many = np.nonzero(hot[at] == context)[0]
+            slice_of = (texts.numbers[last[many]] % slices[at[many]]).astype(np.uint64)
+            out = route.copy()
+            out[many] = (_mixed(context[many].astype(np.uint64), slice_of) >> np.uint64(2)).astype(np.int64)
+            return out
+
+        def part(route: np.ndarray) -> np.ndarray:
+            return np.searchsorted(begins, route, side="right") - 1
+
+        words, pairs = len(texts.numbers), len(texts.first)
+        to_word = texts.numbers
+        to_pair = split(to_word[texts.first], texts.numbers[texts.first], texts.last)
+        to_triple = split(to_pair[texts.before], texts.pair_numbers()[texts.before], texts.third) if len(hot) else (
+            to_pair[texts.before])
+        home = [part(to_word), part(to_pair), part(to_triple)]
+        own = np.flatnonzero(np.arange(pairs) != texts.starts)
+        second, at = np.unique(np.concatenate([home[1][own] * pairs + own, home[2] * pairs + texts.before]),
+                               return_inverse=True)
+        part2, node2 = np.divmod(second, pairs)
+        owner3 = at[len(own):]
+        node3 = np.argsort(owner3, kind="stable")
+        own = np.flatnonzero(np.arange(words) != texts.start)
+        roots, at = np.unique(np.concatenate([home[0][own] * words + own, part2 * words + texts.first[node2]]),
+                              return_inverse=True)
+        part1, node1 = np.divmod(roots, words)
+        self.nodes = (node1, node2, node3)
+        self.owner = (None, at[len(own):], owner3[node3])
+        self.home = ((part1 == home[0][node1]) & (node1 != texts.start),
+                     (part2 == home[1][node2]) & (node2 != texts.starts), np.ones(len(node3), bool))
+        self.cuts = [np.searchsorted(x, np.arange(parts + 1)) for x in (part1, part2, home[2][node3])]
+        self.parts = np.flatnonzero(np.diff(self.cuts[0]))
+
+
+def crowded(rows: DataFrame, chars: int) -> dict[int, int]:
+    """Numbers of words and pairs with very many nodes below them, and how many slices these make.
+
+    Counted on one block in ``SLICE_BLOCKS``. It decides where nodes lie and nothing else: every
+    block is counted and scored whatever is found here.
+    """
+    some = rows.filter(F.pmod(F.xxhash64("block"), F.lit(SLICE_BLOCKS)) == 0)
+    seen = some.agg(F.sum("chars")).first()[0]
+    if not seen:
+        return {}
 
+    least = _LEAST_NODES
+
+    def loads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sizes, body in (row for frame in batches for row in frame.itertuples(index=False, name=None)):
+            texts = _Block(_texts(sizes, body))
+            of_pair = np.bincount(texts.before, minlength=len(texts.first))
+            of_word = np.bincount(texts.first, 1 + of_pair, len(texts.numbers)).astype(np.int64)
+            number, load = np.concatenate([texts.numbers, texts.pair_numbers()]), np.concatenate([of_word, of_pair])
+            much = load >= least
+            yield pd.DataFrame({"number": number[much], "load": load[much]})
+
+    found = some.select("sizes", "body").mapInPandas(loads, "number long, load long").groupBy("number").agg(
+        F.ceil(F.sum("load") * (chars / seen) / SLICE_NODES).alias("slices")).filter("slices > 1")
+    return {r["number"]: r["slices"] for r in found.collect()}
 
-def requests(rows: DataFrame, parts: int) -> DataFrame:
-    """``(part, block, size, keys, n)``: the distinct numbers of each block by part of their level,
-    with their training counts there. Part p of level k is part ``(k - 1) * parts + p``."""
-    begins = _ranges(parts)
 
+def requests(rows: DataFrame, parts: int, crowded: dict[int, int]) -> DataFrame:
+    """``(part, block, words, pairs, triples, base, roots, fan1, fan2, code2, code3, n1, n2, n3)``: the
+    branches of each block by part of the trie: numbers of the words, how many nodes lie below each
+    word and pair, codes of the second and third words, and the training counts of all nodes."""
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, held_out, sizes, body in (row for frame in batches for row in frame.itertuples(index=False, name=None)):
             texts = _Block(_texts(sizes, body))
-            learned = np.repeat(~np.array(held_out, dtype=bool), texts.sizes)
+            paths = _Paths(texts, parts, crowded)
+            n1, n2, n3 = (np.where(home, n[node], 0) for home, n, node in zip(
+                paths.home, texts.learned(held_out), paths.nodes, strict=True))
+            roots = texts.numbers[paths.nodes[0]]
+            second = texts.numbers[texts.last[paths.nodes[1]]]
+            third = texts.numbers[texts.third[paths.nodes[2]]]
+            fan1, fan2 = np.bincount(paths.owner[1], minlength=len(roots)), np.bincount(paths.owner[2], minlength=len(second))
             out = []
-            for k, (keys, order, at) in enumerate(zip(texts.keys, texts.order, texts.at, strict=True)):
-                n = np.bincount(at, learned, len(keys)).astype(np.int64)[order]
-                cuts = np.searchsorted(keys, begins)
-                out += [(k * parts + p, b - a, packed(keys[a:b] - begins[p]), _small(n[a:b]))
-                        for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            made = pd.DataFrame(out, columns=["part", "size", "keys", "n"])
+            for p in paths.parts.tolist():
+                a, b, c = (slice(x[p], x[p + 1]) for x in paths.cuts)
+                low = roots[a][0]
+                out.append((p, *(x.stop - x.start for x in (a, b, c)), low, packed(roots[a] - low), _small(fan1[a]),
+                            _small(fan2[b]), _codes(second[b]), _codes(third[c]), _small(n1[a]), _small(n2[b]), _small(n3[c])))
+            made = pd.DataFrame(out, columns=["part", "words", "pairs", "triples", "base", "roots", "fan1", "fan2",
+                                              "code2", "code3", "n1", "n2", "n3"])
             made.insert(1, "block", number)
             yield made
 
     return rows.select("block", "held_out", "sizes", "body").mapInPandas(
-        send, "part long, block long, size long, keys binary, n binary")
-
-
-def counts(asked: DataFrame, parts: int) -> DataFrame:
-    """``(block, part, size, c, tokens, kinds)``: the counts over all blocks of what each block asked
-    for, in its order; one row of each part of the words also holds its tokens and distinct words."""
+        send, "part long, block long, words long, pairs long, triples long, base long, roots binary, fan1 binary, "
+        "fan2 binary, code2 binary, code3 binary, n1 binary, n2 binary, n3 binary")
+
+
+def _found(nodes: list[np.ndarray], n: list[np.ndarray]) -> list[np.ndarray]:
+    """Training counts of a part's nodes, from a trie of those that were learned.
+
+    ``nodes``: numbers of the words, then owner and code of pairs and triples in one number, all
+    distinct and in order; ``n`` their counts."""
+    owner = [None, *(x >> CODE_BITS for x in nodes[1:])]
+    code = [None, *(x & (1 << CODE_BITS) - 1 for x in nodes[1:])]
+    keep = [x > 0 for x in n]
+    for k in (2, 1):  # whatever has a learned node below it stays
+        keep[k - 1][owner[k][keep[k]]] = True
+    levels = [{"n": n[0][keep[0]]}]
+    for k in (1, 2):
+        place = np.cumsum(keep[k - 1]) - 1
+        levels.append({"n": n[k][keep[k]], "owner": place[owner[k][keep[k]]], "child": code[k][keep[k]]})
+    trie = Trie(build_counts(nodes[0][keep[0]], levels))
+    at = [trie.first(nodes[0])]
+    for k in (1, 2):
+        at.append(trie.below(k + 1, at[k - 1][owner[k]], code[k]))
+    out = []
+    for k, place in enumerate(at, 1):
+        count = np.zeros(len(place), np.int64)
+        count[place >= 0] = trie.value(k, "n", place[place >= 0])
+        out.append(count)
+    return out
+
+
+def counts(asked: DataFrame) -> DataFrame:
+    """``(block, part, c1, c2, c3, tokens, kinds)``: the counts over all blocks of the nodes that each
+    block asked for, by level in its order; one row of each part also holds the tokens and distinct
+    words that were learned."""
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame["size"].to_numpy()
-        distinct, place = np.unique(np.concatenate([unpacked(x) for x in frame["keys"]]), return_inverse=True)
-        n = np.concatenate([_wide(x, size) for x, size in zip(frame["n"], sizes, strict=True)])
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, place, n)
-        word = frame["part"].iat[0] < parts
+        sizes = [frame[name].to_numpy() for name in ("words", "pairs", "triples")]
+
+        def joined(name: str, size: np.ndarray) -> np.ndarray:
+            return np.concatenate([_wide(x, m) for x, m in zip(frame[name], size.tolist(), strict=True)])
+
+        roots = np.concatenate([unpacked(x) + low for x, low in zip(frame["roots"], frame["base"], strict=True)])
+        words, at = np.unique(roots, return_inverse=True)
+        nodes, place = [words], [at]
+        for k in (1, 2):
+            code = np.concatenate([_of_codes(x) for x in frame[f"code{k + 1}"]])
+            own = np.repeat(place[k - 1], joined(f"fan{k}", sizes[k - 1]))
+            distinct, at = np.unique(own << CODE_BITS | code, return_inverse=True)
+            nodes.append(distinct)
+            place.append(at)
+        n = [np.bincount(at, joined(f"n{k}", size), len(x)).astype(np.int64)
+             for k, (at, size, x) in enumerate(zip(place, sizes, nodes, strict=True), 1)]
         head = np.arange(len(frame)) == 0
         return pd.DataFrame({
-            "block": frame["block"], "part": frame["part"], "size": sizes,
-            "c": [_small(x) for x in np.split(total[place], np.cumsum(sizes)[:-1])],
-            "tokens": np.where(head & word, total.sum(), 0), "kinds": np.where(head & word, (total > 0).sum(), 0)})
+            "block": frame["block"], "part": frame["part"],
+            **{f"c{k}": [_small(x) for x in np.split(count[at], np.cumsum(size)[:-1])]
+               for k, (count, at, size) in enumerate(zip(_found(nodes, n), place, sizes, strict=True), 1)},
+            "tokens": np.where(head, n[0].sum(), 0), "kinds": np.where(head, (n[0] > 0).sum(), 0)})
 
     return kept_table(asked.groupBy("part").applyInPandas(
-        answer, "block long, part long, size long, c binary, tokens long, kinds long"))
+        answer, "block long, part long, c1 binary, c2 binary, c3 binary, tokens long, kinds long"))
 
 
 def model(trigrams: pd.DataFrame, bigrams: pd.DataFrame, unigrams: np.ndarray) -> bytes:
@@ -269,11 +420,10 @@ def _probabilities(texts: _Block, found: list[np.ndarray], tokens: int, kinds: i
     ``found`` has the training counts by level, as the block numbers them."""
     words, pairs, triples = found
     share = (words + 0.5) / (tokens + 0.5 * (kinds + 1))
-    as_context = np.concatenate([[words[texts.end - 1]], words])  # as many starts as ends
-    second = ((pairs + PRIOR[0] * share[texts.last_of_pair - 1])
-              / (as_context[texts.word_of_pair] + PRIOR[0]))
-    pair_context = np.append(pairs, as_context[0])[texts.before_triple]
-    return share, (triples + PRIOR[1] * second[texts.pair_of_triple]) / (pair_context + PRIOR[1])
+    as_context, pair_context = words.copy(), pairs.copy()
+    as_context[texts.start] = pair_context[texts.starts] = words[texts.end]  # as many starts as ends
+    second = (pairs + PRIOR[0] * share[texts.last]) / (as_context[texts.first] + PRIOR[0])
+    return share, (triples + PRIOR[1] * second[texts.pair_of_triple]) / (pair_context[texts.before] + PRIOR[1])
 
 
 def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,8 +433,10 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
     ``held_out`` is a condition on the key; rows that it holds for are never learned from.
     """
     rows = blocked(df, held_out, key, text)
-    parts = 1 + (rows.agg(F.sum("chars")).first()[0] or 0) // PART_CHARS
-    answers = counts(requests(rows, parts), parts)
+    chars = rows.agg(F.sum("chars")).first()[0] or 0
+    parts = 1 + chars // PART_CHARS
+    slices = crowded(rows, chars) if parts > 1 else {}
+    answers = counts(requests(rows, parts, slices))
     tokens, kinds = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def score_block(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -292,14 +444,14 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
             return pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
         names, held = (list(frame[name].iat[0]) for name in ("key", "held_out"))
         texts = _Block(_texts(frame["sizes"].iat[0], frame["body"].iat[0]))
+        paths = _Paths(texts, parts, slices)
         known = known.sort_values("part")
-        level = known["part"].to_numpy() // parts
         found = []
-        for k, order in enumerate(texts.order):
-            own = known[level == k]
-            sorted_counts = np.concatenate([_wide(x, n) for x, n in zip(own["c"], own["size"], strict=True)])
-            count = np.empty(len(order), np.int64)
-            count[order] = sorted_counts
+        for k, (nodes, home, cuts) in enumerate(zip(paths.nodes, paths.home, paths.cuts, strict=True), 1):
+            size = np.diff(cuts)[paths.parts].tolist()
+            values = np.concatenate([_wide(x, n) for x, n in zip(known[f"c{k}"], size, strict=True)])
+            count = np.zeros((len(texts.numbers), len(texts.first), len(texts.before))[k - 1], np.int64)
+            count[nodes[home]] = values[home]
             found.append(count)
         share, probability = _probabilities(texts, found, tokens, kinds)
         owner = np.repeat(np.arange(len(names)), texts.sizes)
@@ -316,7 +468,7 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
 
     kind = df.schema[key].dataType.simpleString()
     scored = rows.drop("chars").groupBy("block").cogroup(
-        answers.select("block", "part", "size", "c").groupBy("block")).applyInPandas(
+        answers.select("block", "part", "c1", "c2", "c3").groupBy("block")).applyInPandas(
         score_block, "key string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("key").cast(kind).alias(key), "held_out", "n_tokens", "n_known",

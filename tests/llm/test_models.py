@@ -255,6 +255,55 @@ def test_language_model_counts_every_word_and_gram(spark, monkeypatch):
         assert got[k].score == pytest.approx(want, rel=1e-9)
 
 
+def test_counts_are_found_in_a_trie(monkeypatch):
+    """A part's counts come out of its Elias-Fano trie, exactly, also of nodes that are only passed through."""
+    rng = np.random.default_rng(4)
+    below = 1 << ngram_lm.CODE_BITS
+    words = np.sort(rng.choice(1 << 61, 300, replace=False))
+    nodes = [words]
+    for size, parents in ((2000, 300), (9000, 2000)):
+        nodes.append(np.unique(rng.integers(0, parents, size) * below + rng.choice(rng.integers(0, below, 200), size)))
+        parents = len(nodes[-1])
+    nodes[2] = nodes[2][nodes[2] // below < len(nodes[1])]
+    n = [np.where(rng.random(len(x)) < 0.5, 0, rng.zipf(1.2, len(x)) % 10**6) for x in nodes]
+    looked_up = []
+
+    class Watched(elias_fano.Trie):
+        def below(self, k, node, child):
+            looked_up.append((k, len(node)))
+            return super().below(k, node, child)
+
+    monkeypatch.setattr(ngram_lm, "Trie", Watched)
+    for counted in (n, [np.zeros_like(x) for x in n]):
+        for got, want in zip(ngram_lm._found(nodes, counted), counted, strict=True):
+            assert (got == want).all()
+    assert looked_up[:2] == [(2, len(nodes[1])), (3, len(nodes[2]))]
+
+
+def test_crowded_contexts_are_cut(spark, monkeypatch):
+    """Words and pairs that very much follows lie in many parts; no score depends on that."""
+    texts = [(k, " ".join(f"of the x{k}_{i} of the y{i % 7}" for i in range(40))) for k in range(60)]
+    docs = spark.createDataFrame([*texts, (60, ""), (61, None)], "doc_id long, text string").repartition(4)
+    held = F.col("doc_id") % 5 == 1
+    plain = {r.doc_id: r for r in ngram_lm.score(docs, held).collect()}
+    for name, value in (("PART_CHARS", 5_000), ("BLOCK_ROWS", 5), ("SLICE_NODES", 100), ("SLICE_BLOCKS", 1)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rows = ngram_lm.blocked(docs, held, "doc_id", "text")
+    chars = rows.agg(F.sum("chars")).first()[0]
+    many = ngram_lm.crowded(rows, chars)
+    pair = ngram_lm._Block(["of the"])
+    assert many.keys() >= {int(x) for x, a, b in zip(pair.pair_numbers(), pair.first, pair.last)
+                           if pair.numbers[a] == ngram_lm._number("of") >> 2 and pair.numbers[b] == ngram_lm._number("the") >> 2}
+    parts = 1 + chars // 5_000
+    nodes = lambda crowded: max(r["n"] for r in ngram_lm.requests(rows, parts, crowded)
+                                .groupBy("part").agg(F.sum(F.col("pairs") + F.col("triples")).alias("n")).collect())
+    assert 2 * nodes(many) < nodes({})
+    got = {r.doc_id: r for r in ngram_lm.score(docs, held).collect()}
+    assert got.keys() == plain.keys()
+    for k, r in got.items():
+        assert r[:5] == plain[k][:5] and r[5:] == pytest.approx(plain[k][5:], rel=1e-9)
+
+
 @pytest.mark.parametrize("n, top", [(1, 1), (1, 1 << 61), (1000, 1 << 62), (5000, 3), (3000, 1 << 50)])
 def test_packed_sequences(n, top):
     values = np.sort(np.random.default_rng(n).integers(0, top, n))
