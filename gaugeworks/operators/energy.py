@@ -496,24 +496,25 @@ def valid_day_shares(
         F.coalesce("_n", F.lit(0)), length / (interval_minutes * 60), capped=False
     )
     days = days.join(meter, by, "left").withColumn("meter_coverage_pct", meter_cov)
-    quality = series.channel_quality(
-        samples, channels=channels, labels=labels, poll_seconds=poll_seconds,
-        coverage_threshold=channel_threshold, edge_seconds=edge_seconds,
-        max_gap_seconds=max_gap_seconds, tz=tz, days=days,
-    )
-    position = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("channel"))
+    options_of_quality = {
+        "channels": channels, "labels": labels, "poll_seconds": poll_seconds, "coverage_threshold": channel_threshold,
+        "edge_seconds": edge_seconds, "max_gap_seconds": max_gap_seconds, "tz": tz}
+    quality = series.channel_quality(samples, days=days, clean=True, **options_of_quality)
     per_day = quality.groupBy(*by).agg(
-        F.min("coverage_pct").alias("worst_channel_coverage_pct"),
-        F.flatten(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct(position.alias("p"), F.col("failures").alias("f")))),
-                lambda x: x["f"],
-            )
-        ).alias("_failures"),
-    )
-    energy = channel_energy(
+        F.min("coverage_pct").alias("worst_channel_coverage_pct"), F.bool_and("clean").alias("_clean"))
+    # All days are judged; only the failures of the latest one are told, so only they are written out.
+    latest = F.greatest(first, F.date_sub(today, 1))
+    position = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("channel"))
+    told = series.channel_quality(
+        samples.filter((F.col("ts") >= tk.day_start(latest, tz)) & (F.col("ts") < tk.day_end(latest, tz))),
+        days=sites.withColumn("day", latest), **options_of_quality,
+    ).groupBy("site_id").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct(position.alias("p"), F.col("failures").alias("f")))),
+        lambda x: x["f"])).alias("_failures"))
+    # Both results are made of these: few rows, kept, so that no day is integrated or judged twice.
+    energy = cut_lineage(channel_energy(
         series.add_local_day_window(samples, tz=tz), max_gap_seconds=max_gap_seconds, **options
-    ).select(*by, "channel", F.round("kwh", 3).alias("kwh"))
+    ).select(*by, "channel", F.round("kwh", 3).alias("kwh")))
     monitored = energy.groupBy(*by).agg(F.round(F.sum("kwh"), 3).alias("monitored_kwh"))
     judged = days.join(per_day, by, "left").join(monitored, by, "left")
     meter_failure = F.when(
@@ -521,16 +522,27 @@ def valid_day_shares(
         F.array(F.concat(F.lit(f"{meter_label}: "), F.format_string("%.1f", F.col("meter_coverage_pct")),
                          F.lit(f"% coverage (need ≥ {meter_threshold:.0f}%)"))),
     ).otherwise(F.array().cast("array<string>"))
-    judged = judged.withColumn("failures", F.concat(meter_failure, F.col("_failures")))
+    judged = judged.withColumn("_meter_failure", meter_failure)
     valid = (
-        (F.size("failures") == 0) & (F.col("_meter") > 0)
+        (F.size("_meter_failure") == 0) & F.col("_clean") & (F.col("_meter") > 0)
         & (F.coalesce("monitored_kwh", F.lit(0.0)) <= F.col("_meter") * 1.05)
     )
     judged = judged.withColumn("_valid", F.coalesce(valid, F.lit(False)))
-    chosen = judged.filter("_valid").groupBy("site_id").agg(
-        F.max("day").alias("day"), F.max_by("_meter", "day").alias("meter_kwh"),
-        F.max_by("monitored_kwh", "day").alias("monitored_kwh"),
-    )
+    neg_age = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    valid_day = F.when(F.col("_valid"), F.col("day"))
+    judged = cut_lineage(judged.groupBy("site_id").agg(
+        F.max(valid_day).alias("day"), F.max_by("_meter", valid_day).alias("meter_kwh"),
+        F.max_by("monitored_kwh", valid_day).alias("monitored_kwh"),
+        F.bool_or("_valid").alias("available"),
+        F.max_by(F.when(F.col("meter_coverage_pct") > 0, F.col("day")),
+                 F.struct("meter_coverage_pct", neg_age)).alias("best_meter_day"),
+        F.max("meter_coverage_pct").alias("best_meter_coverage_pct"),
+        F.max_by(F.when(F.col("worst_channel_coverage_pct") > 0, F.col("day")),
+                 F.struct("worst_channel_coverage_pct", neg_age)).alias("best_channel_day"),
+        F.max("worst_channel_coverage_pct").alias("best_channel_coverage_pct"),
+        F.max_by("_meter_failure", "day").alias("_meter_failure"),
+    ))
+    chosen = judged.filter("available").select("site_id", "day", "meter_kwh", "monitored_kwh")
     grid = chosen.withColumn(
         "channel", F.explode(F.array(*[F.lit(c) for c in channels], F.lit(UNMONITORED)))
     ).join(energy, [*by, "channel"], "left")
@@ -543,17 +555,9 @@ def valid_day_shares(
         F.round(100.0 * kwh / F.col("meter_kwh"), 1).alias("pct"),
         F.round("meter_kwh", 2).alias("meter_kwh"),
     )
-    neg_age = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    diagnostics = judged.groupBy("site_id").agg(
-        F.bool_or("_valid").alias("available"),
-        F.max_by(F.when(F.col("meter_coverage_pct") > 0, F.col("day")),
-                 F.struct("meter_coverage_pct", neg_age)).alias("best_meter_day"),
-        F.max("meter_coverage_pct").alias("best_meter_coverage_pct"),
-        F.max_by(F.when(F.col("worst_channel_coverage_pct") > 0, F.col("day")),
-                 F.struct("worst_channel_coverage_pct", neg_age)).alias("best_channel_day"),
-        F.max("worst_channel_coverage_pct").alias("best_channel_coverage_pct"),
-        F.max_by("failures", "day").alias("latest_failures"),
-    )
+    diagnostics = judged.join(told, "site_id", "left").withColumn(
+        "latest_failures", F.concat("_meter_failure", "_failures")
+    ).drop("day", "meter_kwh", "monitored_kwh", "_meter_failure", "_failures")
     return slices, diagnostics
 
 

@@ -48,18 +48,12 @@ def _halo_buckets(ts: Column, bucket_seconds: int, before: float, after: float)
     own = bucket_of(ts, bucket_seconds)
     width = bucket_seconds * 1_000_000
     into = micros(ts) - own * F.lit(width)
-    candidates = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
-    if before:
-        candidates.append(
-            F.when(into <= F.lit(int(before * 1_000_000)),
-                   F.struct((own - 1).alias("b"), F.lit(False).alias("own")))
-        )
-    if after:
-        candidates.append(
-            F.when(F.lit(width) - into <= F.lit(int(after * 1_000_000)),
-                   F.struct((own + 1).alias("b"), F.lit(False).alias("own")))
-        )
-    return F.array_compact(F.array(*candidates))
+    early = into <= F.lit(int(before * 1_000_000)) if before else F.lit(False)
+    late = F.lit(width) - into <= F.lit(int(after * 1_000_000)) if after else F.lit(False)
+    return (
+        F.when(early & late, F.array(own, own - 1, own + 1)).when(early, F.array(own, own - 1))
+        .when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    )
 
 
 def with_halo(
@@ -69,10 +63,8 @@ def with_halo(
     if max(before, after) > bucket_seconds:
         raise ValueError("look-around must not exceed the bucket width")
     return (
-        df.withColumn("_h", F.explode(_halo_buckets(F.col(ts), bucket_seconds, before, after)))
-        .withColumn(BUCKET, F.col("_h.b"))
-        .withColumn("_own", F.col("_h.own"))
-        .drop("_h")
+        df.withColumn(BUCKET, F.explode(_halo_buckets(F.col(ts), bucket_seconds, before, after)))
+        .withColumn("_own", F.col(BUCKET).eqNullSafe(bucket_of(ts, bucket_seconds)))
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,12 +187,14 @@ def channel_quality(
     max_gap_seconds: int = MAX_GAP_SECONDS,
     tz: str = DEFAULT_ZONE,
     days: DataFrame | None = None,
+    clean: bool = False,
 ) -> DataFrame:
     """Failure messages per (key, local day, channel); an empty array is a clean channel.
 
     Checks coverage, distance of the first and last reading from the day's bounds, and the
     first inner gap. Every (key, day) seen in ``samples`` (or listed in ``days``) is judged
-    for every channel, so a silent channel is reported as well.
+    for every channel, so a silent channel is reported as well. ``clean`` adds a column of that name
+    for those who need no texts: whether there is no failure.
     """
     tagged = add_local_day_window(samples, "ts", tz)
     by = [*keys, "day"]
@@ -206,12 +210,16 @@ def channel_quality(
         F.max("ts").alias("last_ts"),
         F.min_by("_gap", wide_gap).alias("first_wide_gap"),
     )
+    # A row a day holds the few channels as a map, so the days join before they are laid out by channel.
+    measures = F.struct("reading_count", "first_ts", "last_ts", "first_wide_gap")
+    stats = stats.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", measures))).alias("_stats"))
     base = days if days is not None else tagged.select(*by).distinct()
-    grid = base.select(*by).withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
-    joined = grid.join(stats, [*by, "channel"], "left")
-    joined = joined.withColumn("window_start", day_start("day", tz)).withColumn(
-        "window_end", day_end("day", tz)
-    )
+    joined = base.select(*by).withColumns(
+        {"window_start": day_start("day", tz), "window_end": day_end("day", tz)}).join(stats, by, "left")
+    joined = joined.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
+    joined = joined.withColumn("_of", F.try_element_at("_stats", F.col("channel"))).select(
+        *by, "window_start", "window_end", "channel", "_of.*")
     count = F.coalesce(F.col("reading_count"), F.lit(0))
     expected = expected_samples(F.col("window_start"), F.col("window_end"), poll_seconds)
     coverage = coverage_pct(count, expected, capped=True)
@@ -225,24 +233,26 @@ def channel_quality(
     def minutes(seconds: Column) -> Column:
         return F.format_string("%.0f", seconds / 60)
 
-    messages = F.array_compact(F.array(
-        F.when(coverage < coverage_threshold,
-               F.concat(label, F.lit(": "), F.format_string("%.1f", coverage),
-                        F.lit(f"% coverage (need ≥ {coverage_threshold:.0f}%)"))),
-        F.when(count == 0, F.concat(label, F.lit(": no samples in window"))),
-        F.when(first_off > edge_seconds,
-               F.concat(label, F.lit(": first sample "), minutes(first_off),
-                        F.lit(f" min after window start (need ≤ {allowed} min)"))),
-        F.when(last_off > edge_seconds,
-               F.concat(label, F.lit(": last sample "), minutes(last_off),
-                        F.lit(f" min before window end (need ≤ {allowed} min)"))),
-        F.when(F.col("first_wide_gap").isNotNull(),
-               F.concat(label, F.lit(": internal gap of "), minutes(F.col("first_wide_gap")),
-                        F.lit(f" min (max {max_gap_seconds // 60} min)"))),
-    ))
+    faults = (
+        (coverage < coverage_threshold,
+         F.concat(label, F.lit(": "), F.when(coverage == 0, "0.0").otherwise(F.format_string("%.1f", coverage)),
+                  F.lit(f"% coverage (need ≥ {coverage_threshold:.0f}%)"))),
+        (count == 0, F.concat(label, F.lit(": no samples in window"))),
+        (first_off > edge_seconds,
+         F.concat(label, F.lit(": first sample "), minutes(first_off),
+                  F.lit(f" min after window start (need ≤ {allowed} min)"))),
+        (last_off > edge_seconds,
+         F.concat(label, F.lit(": last sample "), minutes(last_off),
+                  F.lit(f" min before window end (need ≤ {allowed} min)"))),
+        (F.col("first_wide_gap").isNotNull(),
+         F.concat(label, F.lit(": internal gap of "), minutes(F.col("first_wide_gap")),
+                  F.lit(f" min (max {max_gap_seconds // 60} min)"))),
+    )
+    messages = F.array_compact(F.array(*[F.when(found, message) for found, message in faults]))
+    flag = [(~reduce(or_, [F.coalesce(found, F.lit(False)) for found, _ in faults])).alias("clean")] if clean else []
     return joined.select(
         *by, "channel", count.alias("reading_count"), coverage.alias("coverage_pct"),
-        messages.alias("failures"),
+        messages.alias("failures"), *flag,
     )
 
 

@@ -365,6 +365,37 @@ def test_trend_days_without_data_are_null(spark):
     assert [r["sampled_kwh"] for r in out] == [None, None, None]
 
 
+def test_clean_says_whether_there_are_failures(spark):
+    samples = day_of_samples(spark).unionByName(
+        day_of_samples(spark, range(700, 705)).withColumn("channel", F.lit("b"))).unionByName(
+        day_of_samples(spark, range(0, 1440, 2)).withColumn("site_id", F.lit(2).cast("long")))
+    out = series.channel_quality(samples, channels=["a", "b"], clean=True).collect()
+    assert {(r["site_id"], r["channel"]): r["clean"] for r in out} == {
+        (1, "a"): True, (1, "b"): False, (2, "a"): False, (2, "b"): False}
+    assert all(r["clean"] == (r["failures"] == []) for r in out)
+
+
+def test_shares_judge_and_integrate_each_day_once(spark):
+    start = datetime(2024, 3, 1, 6, tzinfo=timezone.utc)
+    samples = day_of_samples(spark).unionByName(day_of_samples(spark).withColumn("channel", F.lit("b")))
+    intervals = spark.createDataFrame(
+        [(s, "m", start + timedelta(minutes=15 * i), start + timedelta(minutes=15 * i + 15), 1.0)
+         for s in (1, 2) for i in range(96)],
+        "site_id long, provider string, start_ts timestamp, end_ts timestamp, kwh double")
+    slices, diag = energy.valid_day_shares(
+        intervals, samples, tk.utc_literal("2024-03-03 12:00:00"), channels=["a", "b"], look_back=3)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (slices, diag)]
+    assert "Window" not in plans[0]
+    assert not any("_halo" in p or "lead(" in p or "_bucket" in p for p in plans)
+    assert {(r["site_id"], r["channel"]) for r in slices.collect()} == {(1, "a"), (1, "b"), (1, "unmonitored")}
+    silent = ["SMT: 0.0% coverage (need ≥ 90%)", "a: 0.0% coverage (need ≥ 95%)", "a: no samples in window",
+              "b: 0.0% coverage (need ≥ 95%)", "b: no samples in window"]
+    got = {r["site_id"]: r for r in diag.collect()}
+    assert [got[s]["available"] for s in (1, 2)] == [True, False]
+    assert [got[s]["latest_failures"] for s in (1, 2)] == [silent, silent]
+    assert got[2]["best_meter_day"].isoformat() == "2024-03-01" and got[2]["best_channel_day"] is None
+
+
 def test_full_analysis_composes(spark):
     from gaugeworks.plans.analysis import analyse
 
