@@ -222,9 +222,14 @@ def data_quality(
     limits = (("meter", intervals, "start_ts", "end_ts", 1440), ("sample", samples, "ts", "ts", 5),
               ("zone", zones, "ts", "ts", 15))
     for name, df, ts, latest, limit in limits:
-        stamps = df.select(*keys, ts, latest).distinct() if ts != latest else df.select(*keys, ts).distinct()
+        bounds = windows.select(*keys, "window_start", "window_end")
+        stamps = df.select(*keys, *dict.fromkeys((ts, latest)))
         inside = (F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end"))
-        stats = stamps.join(windows.select(*keys, "window_start", "window_end"), keys).groupBy(*keys).agg(
+        if latest_of is None:
+            stamps = stamps.distinct().join(bounds, keys)
+        else:  # rows outside the window count nothing, so they leave before copies are looked for
+            stamps = stamps.join(bounds, keys).filter(inside).distinct()
+        stats = stamps.groupBy(*keys).agg(
             F.count_if(inside).alias(f"{name}_rows"), F.max(latest).alias("_latest"))
         if latest_of is not None:
             stats = latest_of[name].select(*keys, F.col("latest").alias("_latest")).join(
