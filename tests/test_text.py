@@ -269,6 +269,15 @@ def test_versions_of_one_search_and_nulls(spark):
     assert {r.existing_count + r.new_count for r in out if r.search_id == "1"} == {2}
 
 
+def test_last_plan_of_the_counters_holds_no_rules(spark):
+    searches = _run(spark, ("1", ["a"], ["red"], 9), ("1", ["a"], ["ring"], 9), ("2", ["a", "b"], ["red"], 9), ("3", ["a"], None, 3))
+    rows = spark.createDataFrame([("x", "red ring", 5, "a"), ("x", "red ring", 5, "a"), ("y", "ring", 2, "a"), ("z", None, 1, "a"), ("", "red", 1, "b")], _LISTED)
+    out = listings.run_counters(rows, searches, rows.filter("link = 'z'").select("link"), order=("search_id", "source"))
+    assert "include_keywords" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.search_id, r.source): (r.new_count, r.existing_count, r.filtered_count) for r in out.collect()}
+    assert got == {("1", "a"): (2, 1, 1), ("2", "a"): (0, 2, 2), ("2", "b"): (0, 0, 0), ("3", "a"): (0, 2, 2)}
+
+
 def test_costly_rows_are_spread_over_tasks(spark, tmp_path):
     from gaugeworks.plans import catalog
 
