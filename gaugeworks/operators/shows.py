@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import labels
 from gaugeworks.functions.text import has_any, provider_key, show_key
 from gaugeworks.operators.joins import contains_pairs
+from gaugeworks.session import cut_lineage
 
 PRIMARY = "ticketmaster"
 SECONDARY = "seatgeek"
@@ -296,6 +297,10 @@ def check_criteria(watches: DataFrame) -> DataFrame:
 CRITERIA = ("artist", "genre", "area", "city", "state", "radius_miles", "days_forward")
 #: Watches of equal criteria that share a row before their alerts are written out, on average.
 CHUNK = 1000
+#: Merged shows of all kinds that every task may hold.
+FEW_SHOWS = 20_000
+#: Alerts that a task writes out for its watches, on average.
+TASK_ALERTS = 250_000
 
 
 def _kinds(watches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,6 +364,27 @@ def watch_candidates(watches: DataFrame, shows: DataFrame, today: Column) -> Dat
     return found.select("watch_id", "artist", "genre", *shows.columns)
 
 
+def _alerts_by_watch(of_watch: DataFrame, merged: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The shows of each watch's kind that the ledger has not told it of.
+
+    Watches are dealt out by id, to as many tasks as their alerts ask for, and meet the shows
+    where they lie. So the alerts of a watch come out of one task, and what is reduced by watch
+    after this, as a ledger is, needs no shuffle of them.
+    """
+    watches = cut_lineage(of_watch)
+    keys = merged.groupBy("_kind").agg(F.collect_list(KEY).alias("_keys"))
+    told = ledger.join(F.broadcast(merged.select(KEY).distinct()), KEY, "left_semi").groupBy("watch_id").agg(
+        F.collect_set(KEY).alias("_told"))
+    alerts = watches.groupBy("_kind").count().join(F.broadcast(keys), "_kind").agg(
+        F.sum(F.col("count") * F.size("_keys"))).first()[0] or 0
+    tasks = max(of_watch.sparkSession.sparkContext.defaultParallelism, -(-alerts // TASK_ALERTS))
+    # A watch without an id is told of by no ledger.
+    dealt = watches.join(told, "watch_id", "left").repartition(tasks, "watch_id").join(F.broadcast(keys), "_kind")
+    left = F.when(F.col("_told").isNull(), F.col("_keys")).otherwise(F.array_except("_keys", "_told"))
+    due = dealt.select("watch_id", "_kind", F.explode(left).alias(KEY)).join(F.broadcast(merged), ["_kind", KEY])
+    return due.select("watch_id", *[c for c in merged.columns if c != "_kind"])
+
+
 def watch_alerts(
     watches: DataFrame, shows: DataFrame, ledger: DataFrame, today: Column, *,
     primary: str = PRIMARY, secondary: str = SECONDARY,
@@ -368,14 +394,17 @@ def watch_alerts(
     A show counts as told only when the ledger has it; write the ledger for delivered
     alerts (``sinks.tables.ledger_rows``), so a failed delivery comes up again.
 
-    Shows are merged once for watches of equal criteria. The ledger then meets chunks of their
-    watches, and only what is left is written out a row per watch, without a shuffle.
+    Shows are merged once for watches of equal criteria, and counted. Few go to all tasks, see
+    :func:`_alerts_by_watch`. With many, the ledger meets chunks of their watches, and only what
+    is left is written out a row per watch, without a shuffle.
     """
     kinds, of_watch = _kinds(watches)
     found = _kind_candidates(kinds, shows, today)
     genre, artist = F.col("genre"), F.col("artist")
     kept = found.filter(passes_genre(genre, artist, secondary) & ~is_noise(genre, artist, secondary))
-    merged = merge(kept, primary, extra_keys=["_kind"])
+    merged = cut_lineage(merge(kept, primary, extra_keys=["_kind"]))
+    if merged.limit(FEW_SHOWS + 1).count() <= FEW_SHOWS:
+        return _alerts_by_watch(of_watch.select("watch_id", "_kind"), merged, ledger)
     chunk = ["_kind", "_chunk"]
     told = of_watch.join(ledger.select("watch_id", KEY), "watch_id").groupBy(*chunk, KEY).agg(
         F.collect_set("watch_id").alias("_told"))

@@ -146,6 +146,27 @@ def test_watches_of_equal_criteria_meet_shows_once(spark, monkeypatch):
     assert pairs.count() == 4 * 31 + 5 + 4
 
 
+def test_alerts_of_a_watch_reach_the_ledger_without_a_shuffle(spark, monkeypatch):
+    from gaugeworks.operators import shows
+
+    frame, watches = _alert_tables(spark)
+    today = F.lit("2024-02-01").cast("date")
+    told = spark.createDataFrame([(1, "none such"), (2, None), (None, None)], "watch_id long, event_dedupe_key string")
+    due = shows.watch_alerts(watches, frame, told, today)
+    ledger = due.filter("starts_at < '2024-02-11'").select("watch_id", "event_dedupe_key")
+    added = sinks.ledger_rows(ledger, due)
+    plan = added._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(watch_id" in x and "event_dedupe_key" in x]
+    later = shows.watch_alerts(watches, frame, due.filter("watch_id < 9").select("watch_id", "event_dedupe_key"), today)
+    monkeypatch.setattr(shows, "FEW_SHOWS", 0)
+    many = shows.watch_alerts(watches, frame, told, today)
+    assert sorted(map(str, due.collect())) == sorted(map(str, many.collect())) and due.columns == many.columns
+    want = [(r.watch_id or -1, r.event_dedupe_key) for r in many.collect() if r.watch_id is None or r.starts_at >= "2024-02-11"]
+    assert sorted((r[0] or -1, r[1]) for r in added.collect()) == sorted(want)
+    rest = [str(r) for r in many.collect() if r.watch_id is None or r.watch_id >= 9]
+    assert sorted(map(str, later.collect())) == sorted(rest)
+
+
 def test_ledger_is_reduced_in_one_shuffle(spark):
     ledger = spark.createDataFrame([(1, "a"), (1, "a"), (None, "c")], "watch_id long, event_dedupe_key string")
     alerts = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, ""), (2, None), (None, "c"), (None, "c")],
