@@ -269,6 +269,16 @@ def test_versions_of_one_search_and_nulls(spark):
     assert {r.existing_count + r.new_count for r in out if r.search_id == "1"} == {2}
 
 
+def test_pairs_of_one_class_are_written_by_several_tasks(spark):
+    searches = _run(spark, *[(str(i), ["a"], ["red"], 9) for i in range(200)], ("v", ["a"], ["red"], 9), ("v", ["a"], ["ring"], 9))
+    rows = spark.createDataFrame([(f"l{i}", f"red {i}", 5, "a") for i in range(40)], _LISTED)
+    pairs = listings.matches(rows, searches)
+    assert pairs.columns[:4] == ["source", "link", "title", "price"] and "rules" in pairs.columns
+    got = pairs.select("search_id", "link", "rules.max_price", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 40 * 201 == len({(r.search_id, r.link) for r in got}) and {r.max_price for r in got} == {9}
+    assert len({r.task for r in got if r.search_id != "v"}) > 2
+
+
 def test_last_plan_of_the_counters_holds_no_rules(spark):
     searches = _run(spark, ("1", ["a"], ["red"], 9), ("1", ["a"], ["ring"], 9), ("2", ["a", "b"], ["red"], 9), ("3", ["a"], None, 3))
     rows = spark.createDataFrame([("x", "red ring", 5, "a"), ("x", "red ring", 5, "a"), ("y", "ring", 2, "a"), ("z", None, 1, "a"), ("", "red", 1, "b")], _LISTED)
